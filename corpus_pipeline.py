@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackspark.llm import common, langid, neardup, packing
+from trackspark.llm import common, decontam, langid, neardup, packing, secrets
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +25,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(common.narrow(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a copy, edited or not, of a benchmark item."""
+    found = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = common.materialize(found.select("doc_id").distinct(), "gone")
+    return docs.join(common.narrow(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each secret in their text replaced by a mark; n_chars is the new length."""
+    clean = secrets.redact(docs, keep=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
     return packing.pack(docs)
@@ -33,6 +46,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language", language_stage),
     ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secrets_stage),
     ("packing", packing_stage),
 ]
 

@@ -105,16 +105,25 @@ def _byte_table(fold: bool, which: int) -> np.ndarray:
 _TABLES = {(fold, which): _byte_table(fold, which) for fold in (False, True) for which in (0, 1)}
 
 
-def words(texts: pa.Array, fold: bool, which: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes that separate words when marks are no part of them: all of ASCII but letters and digits.
+MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def words(texts: pa.Array, fold: bool, which: int = 0, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of all texts: 64-bit hash, first byte and end of each, and each text's first word.
 
     fold lower-cases A-Z.  which chooses one of two independent hash functions.
+    marks makes ASCII marks separators too and folds Latin-1 capitals as well.
     """
     raw, at = text_bytes(texts)
     if not len(raw):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(at), np.int64)
-    space = SPACE[raw]
+    if marks:
+        raw = raw.copy()
+        capital = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+        raw[1:][capital] += 0x20
+    space = (MARKS if marks else SPACE)[raw]
     full = at[:-1] < at[1:]
     before = np.empty(len(raw), bool)
     before[0], before[1:] = True, space[:-1]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, langid, neardup, packing, quality, sharding, substring, warc
+from . import ann, common, decontam, langid, neardup, packing, quality, secrets, sharding, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(_table(spark, sf_dir, "documents"))
+
+
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_dir(spark)}/archive"
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
@@ -58,9 +66,59 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_neardup, op5_warc, op6_langid, op7_packing, op8_ann, op9_sharding, op10_substring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_neardup, op3_secrets, op4_decontam, op5_warc, op6_langid, op7_packing, op8_ann, op9_sharding, op10_substring)}
+
+WORDS = "[^\\x20\\x09-\\x0D]+"
+
+
+def _spans_sql() -> str:
+    parts = []
+    for i, rule in enumerate(secrets.RULES):
+        pattern = (rule.scan or rule.pattern).replace("'", "''")
+        parts.append(f"""
+            SELECT doc_id, list_filter(list_transform(range(1, len(found) + 1), lambda i: {{
+                'start': CAST(list_sum(list_transform(pieces[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda f: length(f))), 0) AS BIGINT),
+                'kind_no': {i}, 'size': length(found[i]), 'tested': length(tested[i]), 'kind': '{rule.kind}'}}), lambda s: s.tested >= {rule.least}) AS spans
+            FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS pieces, regexp_extract_all(text, '{pattern}', 0) AS found, regexp_extract_all(text, '{pattern}', {rule.group}) AS tested FROM d)""")
+    return " UNION ALL ".join(parts)
+
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_neardup": rf"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS.replace(chr(92) * 2, chr(92))}') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS items FROM d),
+        e AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM s),
+        links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.item = b.item AND a.doc_id <> b.doc_id
+                  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+        least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+        SELECT s.doc_id, CAST(len(items) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN least ON least.x = s.doc_id
+    """,
+    "op3_secrets": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        m AS ({_spans_sql()}),
+        g AS (SELECT doc_id, list_sort(flatten(list(spans))) AS spans FROM m GROUP BY doc_id)
+        SELECT doc_id, CAST(len(list_filter(spans, lambda s: s.kind_no = 0)) AS BIGINT) AS n_assign,
+               CAST(len(list_filter(spans, lambda s: s.kind_no = 1)) AS BIGINT) AS n_access,
+               CAST(len(list_filter(spans, lambda s: s.kind_no = 2)) AS BIGINT) AS n_hex,
+               sha256(coalesce(array_to_string(list_transform(list_filter(spans, lambda s: s.kind_no < 3), lambda s: s.kind || ':' || s.start || ':' || (s.start + s.size)), ','), '')) AS base_sha256,
+               coalesce(array_to_string(list_transform(spans, lambda s: s.kind || ':' || s.start || ':' || (s.start + s.size)), ','), '') AS spans
+        FROM g
+    """,
+    "op10_substring": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS.replace(chr(92) * 2, chr(92))}') AS w FROM documents),
+        p AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
+        h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM p),
+        least AS (SELECT k, min(doc_id) AS first_id FROM h GROUP BY k),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM h JOIN least USING (k) WHERE first_id < doc_id),
+        g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+        words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+        kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.pos) AS text FROM words w ANTI JOIN gone USING (doc_id, pos) GROUP BY w.doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
     "op5_warc": """
         WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
              f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
