@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows of a narrow side (an id and a few numbers) up to which it may be broadcast; about 64 MB.
 BROADCAST_ROWS = 1_000_000
 #: Text bytes that one vectorised step works on; a longer document makes a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -80,7 +80,7 @@ _powers: dict[tuple[int, int], np.ndarray] = {}
 def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base modulo 2**64 and of its inverse."""
     base = (_BASE + 0x51ED270B0 * which * 2) & _MASK
-    size = 1 << max(16, int(n).bit_length())
+    size = -(-int(n) // (1 << 18)) * (1 << 18)
     key = (which, 0)
     if key not in _powers or len(_powers[key]) < n:
         for k, b in ((0, base), (1, pow(base, -1, 1 << 64))):

@@ -30,8 +30,7 @@ WINDOW = 50
 #: Text bytes for each hash shard; what one shard's task holds is in proportion.
 SHARD_BYTES = 6_000_000
 #: Windows that a task collects before it sends them.
-HELD = 2_500_000
-PART = 4 << 20
+HELD = 1_000_000
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -107,7 +106,7 @@ def send_probes(block: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for part in chunks(batch, size=PART):
+            for part in chunks(batch):
                 hashes, _, _, first = words(text_column(part.column("text")), fold=False)
                 start, owner = run_owner(first, block)
                 if not len(start):
@@ -177,7 +176,7 @@ def send_windows(block: int, window: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for part in chunks(batch, size=PART):
+            for part in chunks(batch):
                 texts = text_column(part.column("text"))
                 hashes, _, _, first = words(texts, fold=False)
                 start, owner = run_owner(first, block)
