@@ -29,6 +29,8 @@ from .common import chunks, materialize, narrow, rolling, run_owner, text_column
 WINDOW = 50
 #: Text bytes for each hash shard; what one shard's task holds is in proportion.
 SHARD_BYTES = 6_000_000
+#: Windows around anchors for each shard that they are compared in.
+SHARD_WINDOWS = 800_000
 #: Windows that a task collects before it sends them.
 HELD = 1_000_000
 
@@ -250,6 +252,9 @@ def removed_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", wind
     met = sent.groupBy("shard").applyInArrow(meet_probes, "doc_id long, anchors array<long>")
     anchors = materialize(met.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors")), "anchors")
     wanted = rest.join(narrow(anchors.select("doc_id")), "doc_id", "left_semi").join(anchors, "doc_id")
+    # at most block + 1 windows hold an anchor, so this many shards hold SHARD_WINDOWS each
+    hits = anchors.agg(F.sum(F.aggregate("anchors", F.lit(0).cast("long"), lambda a, x: a + F.size(x)))).first()[0] or 0
+    shards = max(1, -(-hits * (block + 1) // SHARD_WINDOWS))
     sent = wanted.select("doc_id", "version", "text", "anchors").mapInArrow(send_windows(block, window, shards), WINDOWS)
     met = sent.groupBy("shard").applyInArrow(meet_windows, "doc_id long, version long, places array<int>")
     starts = met.groupBy("doc_id", "version").agg(F.collect_list("places").alias("places"))
