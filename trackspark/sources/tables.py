@@ -57,7 +57,7 @@ def read_telemetry(spark: SparkSession, path: str, segment: int | None = None) -
     Errors: no samples; a field that is missing in a block; several segments of which
     none was chosen; a segment that does not exist.
     """
-    rows = telemetry_from_text(spark.read.option("wholetext", True).text(path))
+    rows = telemetry_from_text(spark.read.text(path, wholetext=True))
     lacking = [F.count_if(F.col(c).isNull()).alias(c) for c in TELEMETRY_FIELDS]
     state = rows.agg(F.count(F.lit(1)).alias("n"), F.max("segment").alias("last"), *lacking).first()
     if not state["n"]:
