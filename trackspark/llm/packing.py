@@ -91,6 +91,8 @@ class Encoder:
             return [np.zeros(0, np.uint32)] * len(texts)
         begins = np.zeros(len(raw), bool)
         kind, shown = KIND[raw], VISIBLE[raw[1:]]
+        inner = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(raw))]
+        shown[inner - 1] = False  # what follows is another text
         begins[:-1] = (kind[:-1] == 1) & shown  # before a blank and what follows it
         begins[1:] |= (kind[:-1] == 2) & shown  # between a line end or tab and what follows it
         begins[:-1] |= (kind[:-1] == 2) & shown
