@@ -195,7 +195,7 @@ _insights("insights_m", "metric", True)
 CTES["first_rows"] = "SELECT * FROM insights QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY start_s, segment_id) = 1"
 CTES["longest"] = "SELECT * FROM objects QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY round(duration_s, 9) DESC, segment_id) = 1"
 CTES["scored"] = "SELECT raw.*, confidence * sqrt(greatest(greatest(x2 - x1, 0) * greatest(y2 - y1, 0), 1)) AS display_score FROM raw SEMI JOIN (SELECT * FROM longest WHERE duration_s >= 2 AND displacement_px >= 12) USING (track_id) WHERE confidence >= 0.2"
-CTES["shown"] = "SELECT *, row_number() OVER (PARTITION BY frame ORDER BY display_score DESC, seq) AS place, CAST(trunc(x1 * 0.5) AS INTEGER) AS ox1, CAST(trunc(y1 * 0.5) AS INTEGER) AS oy1, CAST(trunc(x2 * 0.5) AS INTEGER) AS ox2, CAST(trunc(y2 * 0.5) AS INTEGER) AS oy2 FROM scored QUALIFY place <= 12"
+CTES["shown"] = "SELECT *, CAST(row_number() OVER (PARTITION BY frame ORDER BY display_score DESC, seq) AS INTEGER) AS place, CAST(trunc(x1 * 0.5) AS INTEGER) AS ox1, CAST(trunc(y1 * 0.5) AS INTEGER) AS oy1, CAST(trunc(x2 * 0.5) AS INTEGER) AS ox2, CAST(trunc(y2 * 0.5) AS INTEGER) AS oy2 FROM scored QUALIFY place <= 12"
 CTES["longest_m"] = "SELECT * FROM insights_m QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY round(duration_s, 9) DESC, segment_id) = 1"
 CTES["top12"] = "SELECT track_id, segment_id FROM objects ORDER BY round(duration_s, 9) DESC, track_id, segment_id LIMIT 12"
 

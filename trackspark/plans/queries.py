@@ -170,7 +170,7 @@ def telemetry_segments(s, d):
 
 def srt_parse(s, d):
     rows = tables.telemetry_from_text(fx.telemetry_text(s))
-    return rounded(rows.select("place", "frame", "segment", *TELEMETRY_FIELDS))
+    return rounded(rows.select(F.col("place").cast("long").alias("place"), "frame", "segment", *TELEMETRY_FIELDS))
 
 
 def telemetry_dense(s, d):
