@@ -66,6 +66,7 @@ def chunks(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK_BYTES) -
     """Slices of batch of at most size text bytes each (one document at least)."""
     if not batch.num_rows:
         return
+    pa.set_memory_pool(pa.system_memory_pool())  # gives freed buffers back, unlike the default one
     _, at = text_bytes(text_column(batch.column(text)))
     i = 0
     while i < batch.num_rows:
@@ -157,6 +158,9 @@ def run_owner(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return start, owner
 
 
-def set_arrow_limits(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts holds, whatever the row width."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches limited to 1000 rows, since rows hold whole texts."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= 1000:
+        conf.set(name, "1000")
+    return df

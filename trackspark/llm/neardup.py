@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, mix, narrow, rolling, run_owner, text_column, words
+from .common import bounded, chunks, materialize, mix, narrow, rolling, run_owner, text_column, words
 from .components import components
 
 SHINGLE = 5
@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", size: i
                     names=["doc_id", "n_shingles", "digest", "bands"],
                 )
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return bounded(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE) -> DataFrame:
@@ -107,7 +107,7 @@ def full_sets(docs: DataFrame, text: str = "text", key: str = "doc_id", size: in
                 at = np.cumsum([0, *map(len, sets)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets)))], names=["doc_id", "items"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, items array<long>")
+    return bounded(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, "doc_id long, items array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -20,20 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, chunks, text_bytes, text_column
+from .common import SPACE, bounded, chunks, text_bytes, text_column
 
 WINDOW = 2048
 END = 1
 #: Text bytes that are tokenised at once.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 #: Padding tokens that a cut is worth within a document after a sentence, and within a sentence.
 SENTENCE_PENALTY = 16
 HARD_PENALTY = 48
 HARD_STEP = 128
 #: Tokens that one run of the programme takes at once; what its last open window holds goes on to the next run.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: Distinct units of text whose ids a worker remembers.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 300_000
 #: First bytes of characters that are surely no white space.
 VISIBLE = ~SPACE
 VISIBLE[:32] = False
@@ -245,4 +245,4 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int =
                         yield from rows(False)
         yield from rows(True)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
+    return bounded(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(run, PIECES)
