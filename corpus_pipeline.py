@@ -13,8 +13,9 @@ from trackspark.llm import common, decontam, langid, neardup, packing, secrets
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is determined; those without a letter go.  Profiles are learned from docs."""
     profiles = langid.learn(docs, "true")
-    found = langid.identify(docs.withColumn("_text", F.col("text")), profiles, text="_text")
-    return found.filter(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    own = {c: f"_own_{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    found = langid.identify(docs.withColumnsRenamed(own), profiles, keep_text=True).filter(F.col("lang_pred") != langid.UNDETERMINED)
+    return found.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,13 +128,13 @@ def learn(docs: DataFrame, train: str, text: str = "text", lang: str = "lang", k
     return Profiles(langs, tops, size)
 
 
-def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """docs without the text and with lang_pred and score added; columns of those names are replaced.
+def identify(docs: DataFrame, profiles: Profiles, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs, without the text unless it is kept, with lang_pred and score added; columns of those names are replaced.
 
     Null, empty and letterless texts get lang_pred ``und`` and score 0; texts of any
     length are ranked whole; equal texts get equal results.
     """
-    others = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
+    others = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != text)]
     send = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,4 +145,4 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array([x for x, _ in got], pa.string()), pa.array([float(s) for _, s in got], pa.float64())], names=[*others, "lang_pred", "score"])
 
     schema = docs.select(*others, F.lit("").cast("string").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return bounded(docs.select(*others, F.col(text))).mapInArrow(run, schema)
+    return bounded(docs.select(*others, *([] if keep_text else [text]))).mapInArrow(run, schema)

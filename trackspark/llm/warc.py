@@ -39,7 +39,8 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     # only digests and ids are shuffled; payload bytes stay where they are
     keys = rows.filter(F.col("size") >= least).select("page_id", "digest")
     first = keys.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    copies = materialize(keys.join(first, "digest").groupBy("page_id", "digest", "first_id").count(), "copies")
+    first = materialize(first, "first")
+    copies = materialize(keys.join(narrow(first), "digest").groupBy("page_id", "digest", "first_id").count(), "copies")
     # marks: rows that revisit another, and digests whose responses repeat one id
     marks = copies.filter("NOT (page_id <=> first_id)").select(F.col("page_id").alias("mark_id"), F.col("digest").alias("mark"), "first_id", F.lit(True).alias("revisit"))
     marks = marks.unionAll(copies.filter("page_id <=> first_id AND count > 1").select("page_id", "digest", "first_id", F.lit(False)))
