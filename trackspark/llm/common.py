@@ -2,51 +2,85 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a narrow side (an id and a few numbers) up to which it may be broadcast; about 64 MB.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a side of a join up to which it may be broadcast, and those of a row of an id and a few numbers.
+BROADCAST_BYTES = 64_000_000
+ROW_BYTES = 64
 #: Text bytes that one vectorised step works on; a longer document makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """A new folder below spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/trackspark-{uuid.uuid4().hex}"
+    made = f"{base.rstrip('/')}/trackspark-{uuid.uuid4().hex}"
+    _made.append(made)
+    return made
+
+
+#: Folders of this process that have not been deleted, and the folder of each frame that materialize has returned.
+_made: list[str] = []
+_folder_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = shared_dir(spark)
+    df.write.parquet(f"{folder}/{name}")
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    _folder_of[out] = folder
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # type: ignore[union-attr]
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made.remove(folder)
 
 
-def narrow(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df marked for broadcast if it has at most BROADCAST_ROWS rows, else unmarked (a shuffle join)."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def discard(*frames: DataFrame) -> None:
+    """Delete what materialize has written for frames from which everything has been computed."""
+    for df in frames:
+        if (folder := _folder_of.pop(df, None)) in _made:
+            _delete(df.sparkSession, folder)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process; call it once results are written."""
+    for folder in list(_made):
+        _delete(spark, folder)
+
+
+def narrow(df: DataFrame, rows: int | None = None, width: Column | int = ROW_BYTES) -> DataFrame:
+    """df marked for broadcast if its rows, width bytes each, have at most BROADCAST_BYTES; else unmarked (a shuffle join)."""
+    if isinstance(width, int):
+        size = (df.count() if rows is None else rows) * width
+    else:
+        size = df.agg(F.sum(width.cast("long"))).first()[0] or 0  # type: ignore[index]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def text_column(column: pa.Array) -> pa.Array:
@@ -75,22 +109,6 @@ def chunks(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK_BYTES) -
         i = j
 
 
-_powers: dict[tuple[int, int], np.ndarray] = {}
-
-
-def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base modulo 2**64 and of its inverse."""
-    base = (_BASE + 0x51ED270B0 * which * 2) & _MASK
-    size = -(-int(n) // (1 << 18)) * (1 << 18)
-    key = (which, 0)
-    if key not in _powers or len(_powers[key]) < n:
-        for k, b in ((0, base), (1, pow(base, -1, 1 << 64))):
-            step = np.full(size, b, np.uint64)
-            step[0] = 1
-            _powers[which, k] = np.multiply.accumulate(step)
-    return _powers[which, 0][:n], _powers[which, 1][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective), elementwise."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -98,28 +116,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_table(fold: bool, which: int) -> np.ndarray:
-    table = mix(np.arange(1, 257, dtype=np.uint64) * _GOLDEN + np.uint64(which * 7919))
-    return table[_FOLD] if fold else table
-
-
-_TABLES = {(fold, which): _byte_table(fold, which) for fold in (False, True) for which in (0, 1)}
-
-
 #: Bytes that separate words when marks are no part of them: all of ASCII but letters and digits.
 MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
-def words(texts: pa.Array, fold: bool, which: int = 0, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of all texts: 64-bit hash, first byte and end of each, and each text's first word.
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes that fit two numbers beside their count; longer words are digested.
+_SHORT = 15
 
-    fold lower-cases A-Z.  which chooses one of two independent hash functions.
-    marks makes ASCII marks separators too and folds Latin-1 capitals as well.
+
+def words(texts: pa.Array, fold: bool, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of all texts: two columns of 64-bit digests, first byte and end of each, and each text's first word.
+
+    A word of up to 15 bytes is a pair of numbers itself, a longer one BLAKE2b's digest;
+    both are mixed, so no structure of a text makes different words equal.
+    fold lower-cases A-Z.  marks makes ASCII marks separators too and folds Latin-1
+    capitals as well.
     """
     raw, at = text_bytes(texts)
     if not len(raw):
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, np.zeros(len(at), np.int64)
+        return np.zeros((0, 2), np.uint64), none, none, np.zeros(len(at), np.int64)
     if marks:
         raw = raw.copy()
         capital = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
@@ -134,20 +152,44 @@ def words(texts: pa.Array, fold: bool, which: int = 0, marks: bool = False) -> t
     after[at[1:][full] - 1] = True
     starts = np.flatnonzero(~space & before)
     ends = np.flatnonzero(~space & after) + 1
-    up, down = powers(len(raw) + 1, which)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_TABLES[fold, which][raw] * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts]), starts, ends, np.searchsorted(starts, at)
-
-
-def rolling(hashes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """Hash of each run of size consecutive elements; callers drop runs that cross texts."""
-    if len(hashes) < size:
+    first = np.searchsorted(starts, at)
+    if not len(starts):
+        return np.zeros((0, 2), np.uint64), starts, ends, first
+    if fold:
+        raw = _FOLD[raw]
+    size = ends - starts
+    padded = np.concatenate([raw, np.zeros(16, np.uint8)])
+    eight = np.ndarray(len(padded) - 7, np.uint64, padded, strides=(1,))  # the eight bytes from each byte on
+    low = eight[starts] & _FIRST[np.minimum(size, 8)]
+    high = eight[starts + 8] & _FIRST[np.clip(size - 8, 0, 7)] | np.minimum(size, 255).astype(np.uint64) << np.uint64(56)
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        low[i], high[i] = np.frombuffer(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=16).digest(), np.uint64)
+    return np.column_stack([_joined(low, high), _joined(high ^ _GOLDEN, low)]), starts, ends, first
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in their order, elementwise; a bijection of either while the other is fixed."""
+    return mix(mix(a + _GOLDEN) ^ b)
+
+
+def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of size consecutive elements; callers drop runs that cross texts.
+
+    Runs are hashed as binary trees, by doubling, so that no algebra relates the hashes
+    of different runs as it would with polynomials.
+    """
+    n = len(hashes) - size + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = powers(len(hashes) + 1, which)
-    total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * up[:-1], out=total[1:])
-    return mix((total[size:] - total[:-size]) * down[: len(hashes) - size + 1] + np.uint64(size))
+    run, length, done, out = np.ascontiguousarray(hashes), 1, 0, np.full(n, size, np.uint64)
+    while True:
+        if size & length:
+            out = _joined(out, run[done : done + n])
+            done += length
+        if 2 * length > size:
+            return out
+        run = _joined(run[:-length], run[length:])
+        length *= 2
 
 
 def run_owner(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

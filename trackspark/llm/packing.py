@@ -9,6 +9,7 @@ linear in the number of cuts.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ CHUNK = 2 << 20
 #: Padding tokens that a cut is worth within a document after a sentence, and within a sentence.
 SENTENCE_PENALTY = 16
 HARD_PENALTY = 48
+#: Tokens after which a cut within a sentence may stand; the window, where that is shorter.
 HARD_STEP = 128
 #: Tokens that one run of the programme takes at once; what its last open window holds goes on to the next run.
 BLOCK_TOKENS = 1_000_000
@@ -61,6 +64,15 @@ class UnitCache(dict):
         return ids
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of the vocabulary's tokenizers file, where there is one."""
+    try:
+        with open(path, encoding="utf-8") as lines:
+            return {t["content"]: t["id"] for t in json.load(lines)["added_tokens"]}
+    except FileNotFoundError:
+        return {}
+
+
 class Encoder:
     """Byte-level BPE of a public vocabulary file.
 
@@ -76,16 +88,36 @@ class Encoder:
         import tiktoken
 
         path = f"{folder}/{file}" if folder else public_tokenizers.path(file)
+        self.special = added_tokens(path.removesuffix(".tiktoken") + ".json")
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=lambda t: (-len(t), t)))) + ")") if self.special else None
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cache = UnitCache(bpe.encode_ordinary)
         ends = re.compile(rb"[.!?\n][\"')\]]*\s*$")
-        self.sentence_end = np.zeros(max(ranks.values()) + 1, bool)
-        self.sentence_end[[i for t, i in ranks.items() if ends.search(t)]] = True
+        self.sentence_end = np.zeros(max([*ranks.values(), *self.special.values()]) + 1, bool)
+        self.sentence_end[[*(i for t, i in ranks.items() if ends.search(t)), *self.special.values()]] = True
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text."""
+        """Ids of each text; added tokens that stand in a text are one id, and what is between them is encoded by itself."""
+        if self.split is None:
+            return self.plain(texts)
+        held = pc.match_substring_regex(texts, "|".join(map(re.escape, self.special))).to_numpy(zero_copy_only=False)
+        if not held.any():
+            return self.plain(texts)
+        pieces = [self.split.split(t) if h else [t] for t, h in zip(texts.to_pylist(), held.tolist())]
+        flat = self.plain(pa.array([p for some in pieces for p in some[::2]], pa.large_string()))
+        out, at = [], 0
+        for some in pieces:
+            ids = [flat[at]]
+            for k, token in enumerate(some[1::2], 1):
+                ids += [np.array([self.special[token]], np.uint32), flat[at + k]]
+            at += len(ids) // 2 + 1
+            out.append(np.concatenate(ids))
+        return out
+
+    def plain(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text, without regard to added tokens."""
         raw, at = text_bytes(texts)
         if not len(raw):
             return [np.zeros(0, np.uint32)] * len(texts)
@@ -177,9 +209,10 @@ class Packer:
         places, penalties = places[order], penalties[order]
         first = np.concatenate([[True], places[1:] != places[:-1]])
         places, penalties = places[first], penalties[first]
-        wide = np.flatnonzero(np.diff(places) > HARD_STEP)
+        step = min(HARD_STEP, self.window)
+        wide = np.flatnonzero(np.diff(places) > step)
         if len(wide):
-            hard = np.concatenate([np.arange(places[i] + HARD_STEP, places[i + 1], HARD_STEP) for i in wide])
+            hard = np.concatenate([np.arange(places[i] + step, places[i + 1], step) for i in wide])
             places, penalties = np.concatenate([places, hard]), np.concatenate([penalties, np.full(len(hard), float(HARD_PENALTY))])
             order = np.argsort(places, kind="stable")
             places, penalties = places[order], penalties[order]
@@ -221,7 +254,9 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int =
     Each input partition is packed in its own order without a shuffle; a
     sequence_id is its partition's number times 2**33 plus a count.  A null or empty
     text is the end token alone; a text longer than the window spans sequences;
-    repeated rows are packed as often as they occur; an empty table gives no pieces.
+    repeated rows and rows with null ids are packed as often as they occur; an empty
+    table gives no pieces.  The programme is optimal over each run of BLOCK_TOKENS
+    tokens and what its predecessor left open, not over the whole stream.
     """
     if window < 2 or window & (window - 1):
         raise ValueError("window must be a power of two")

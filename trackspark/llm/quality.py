@@ -57,7 +57,7 @@ def term_counts(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         mine = np.sort(mine, kind="stable")  # 16 bits: a radix sort
         edge = np.flatnonzero(np.concatenate([mine[1:] != mine[:-1], [True]])) if len(mine) else np.zeros(0, np.int64)
         terms, share = mine[edge].astype(np.int64), np.diff(edge, prepend=-1) / max(1, len(mine))
-        w = hashes[first[i] : first[i + 1]]
+        w = hashes[first[i] : first[i + 1], 0]
         extra = np.zeros(_LAGS + 2)
         if len(w) > 1:
             for lag in range(1, min(_LAGS, len(w) - 1) + 1):
@@ -111,10 +111,9 @@ class Model:
         for i in range(0, len(rows), BLOCK):
             near = self.project(rows[i : i + BLOCK]) @ self.vectors.T
             k = min(self.neighbours, near.shape[1])
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            votes = np.exp(8 * (np.take_along_axis(near, top, axis=1) - 1))
-            good = votes * self.labels[top]
-            share = (good.sum(axis=1) + 1e-6) / (votes.sum(axis=1) + 2e-6)
+            least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+            votes = np.where(near >= least[:, None], np.exp(8 * (near - 1)), 0)  # all that tie with the last vote too
+            share = (votes @ self.labels + 1e-6) / (votes.sum(axis=1) + 2e-6)
             odds1, odds0 = share * self.prior / self.labels.mean(), (1 - share) * (1 - self.prior) / (1 - self.labels.mean())
             out[i : i + BLOCK] = odds1 / (odds1 + odds0)
         return out
@@ -123,8 +122,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, train: str, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE_PER_LABEL) -> Model:
     """A model from at most sample labelled rows of each label that fulfil the SQL condition train, chosen by a hash of the id.
 
-    An id with several labels counts with the smallest; null ids and labels are
-    ignored.  Terms are made on the executors; the driver gets the sample's sparse
+    An id with several labels counts with the smallest, one with several texts with
+    that of the smallest digest; null ids and labels are ignored.  Terms are made on the executors; the driver gets the sample's sparse
     rows only, whose number is bounded.
     """
     known = labels.select(F.col(key).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)").filter(train)
@@ -139,10 +138,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: str, text: str = "text", key:
         for batch in batches:
             for part in chunks(batch):
                 rows = term_counts(text_column(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([t.astype(np.int32) for t, _ in rows], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in rows], pa.list_(pa.float32()))], names=["doc_id", "label", "terms", "shares"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), part.column("version"), pa.array([t.astype(np.int32) for t, _ in rows], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in rows], pa.list_(pa.float32()))], names=["doc_id", "label", "version", "terms", "shares"])
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(taken, "doc_id").select("doc_id", "label", "text")
-    got = bounded(rows).mapInArrow(run, "doc_id long, label int, terms array<int>, shares array<float>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(taken, "doc_id").select("doc_id", "label", "text", F.sha2("text", 256).alias("version"))
+    made = bounded(rows).mapInArrow(run, "doc_id long, label int, version string, terms array<int>, shares array<float>")
+    got = made.groupBy("doc_id").agg(*(F.min_by(c, F.coalesce("version", F.lit(""))).alias(c) for c in ("label", "terms", "shares"))).toPandas().sort_values("doc_id")
     terms = [(np.asarray(t, np.int64), np.asarray(v, np.float64)) for t, v in zip(got["terms"], got["shares"])]
     return Model(terms, got["label"].to_numpy(), total.get(1, 0) / sum(total.values()))
 

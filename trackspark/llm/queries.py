@@ -34,7 +34,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("version")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

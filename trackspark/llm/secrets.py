@@ -9,6 +9,7 @@ expression itself.  A rule without mandatory trigrams scans all texts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 from re import _constants as sre  # type: ignore[attr-defined]
@@ -118,19 +119,49 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
 
 
 def vocabulary(rules: tuple[Rule, ...] = RULES) -> list[str]:
-    """All trigrams of the rules' queries; at most 63 fit one postings mask."""
+    """All trigrams of the rules' queries."""
     return sorted({t for r in rules for options in trigram_query(r.pattern) for o in options for t in o})
 
 
-def postings(docs: DataFrame, trigrams: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The index: a row (trigram number, doc_id) for each of the trigrams that a text holds in either case."""
+def leads(rules: tuple[Rule, ...] = RULES) -> dict[str, set[str]]:
+    """Of each trigram, the first trigrams of the alternatives that hold it: it matters only where one of them stands."""
+    out: dict[str, set[str]] = {}
+    for rule in rules:
+        for options in trigram_query(rule.pattern):
+            for o in options:
+                for t in o:
+                    out.setdefault(t, set()).add(min(o))
+    return out
+
+
+def postings(docs: DataFrame, rules: tuple[Rule, ...], trigrams: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The index: a row (trigram number, doc_id) for each of the trigrams that a text holds in either case.
+
+    Trigrams are looked for only where the first one of an alternative that holds them
+    has been found, so most texts are searched for the first ones alone.
+    """
     low = docs.select(F.col(key).alias("doc_id"), F.lower(text).alias("low"))
-    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams))))
+    of = leads(rules)
+    heads = sorted({h for some in of.values() for h in some})
+    low = low.select("doc_id", "low", *(F.contains("low", F.lit(h)).alias(f"h{i}") for i, h in enumerate(heads)))
+    place = {h: F.col(f"h{i}") for i, h in enumerate(heads)}
+
+    def posted(i: int, t: str) -> Column:
+        if t in place:
+            return F.when(place[t], F.lit(i))
+        some = F.lit(False)
+        for h in sorted(of[t]):
+            some = some | place[h]
+        return F.when(some, F.when(F.contains("low", F.lit(t)), F.lit(i)))
+
+    held = F.array_compact(F.array(*(posted(i, t) for i, t in enumerate(trigrams))))
     return low.select("doc_id", F.explode(held).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...], trigrams: list[str]) -> DataFrame:
     """doc_id and a mask of the rules whose query its postings fulfil, where any does."""
+    if len(rules) > 60:
+        raise ValueError("a mask holds 60 rules at most")
     words = -(-len(trigrams) // 60)  # bits that are used of each long
     number = {t: i for i, t in enumerate(trigrams)}
     masks = [F.coalesce(F.bit_or(F.when(F.floor(F.col("trigram") / 60) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("trigram") % 60).cast("int")))), F.lit(0)).alias(f"m{w}") for w in range(words)]
@@ -144,7 +175,7 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...], trigrams: list[str]) -
                 out = out & (F.col(f"m{w}").bitwiseAND(F.lit(bits).cast("long")) == F.lit(bits).cast("long"))
         return out
 
-    mask = F.lit(0)
+    mask = F.lit(0).cast("long")
     for i, rule in enumerate(rules):
         query = trigram_query(rule.pattern)
         if query:
@@ -154,8 +185,44 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...], trigrams: list[str]) -
                 for o in options:
                     one = one | holds(o)
                 fulfilled = fulfilled & one
-            mask = mask + F.when(fulfilled, F.lit(1 << i)).otherwise(F.lit(0))
-    return docs.select("doc_id", mask.cast("int").alias("rules")).filter("rules <> 0")
+            mask = mask + F.when(fulfilled, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+    return docs.select("doc_id", mask.alias("rules")).filter("rules <> 0")
+
+
+#: Elements that one array of a fold collects; longer results are arrays of such arrays.
+FOLDED = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _fold(rows: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """Fields at and out: a fold of rows by step(at, row), which gives the next at (from 0) and an out of type kind or null; outs come as an array.
+
+    Arrays that grow are copied at each step, so outs are collected FOLDED rows at a
+    time: work is nearly in proportion to the rows and not to their square.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(seen: Column, x: Column) -> Column:
+        return _let(step(seen["at"], x), lambda s: F.struct(s["at"].alias("at"), F.when(s["out"].isNotNull(), F.concat(seen["out"], F.array(s["out"]))).otherwise(seen["out"]).alias("out")))
+
+    def some(seen: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(seen["at"].alias("at"), none.alias("out")), one)
+        return _let(inner, lambda s: F.struct(s["at"].alias("at"), F.concat(seen["out"], F.array(s["out"])).alias("out")))
+
+    def whole(r: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / FOLDED).cast("int")), lambda i: F.slice(r, i * FOLDED + 1, FOLDED))
+        parts = F.when(F.size(r) > 0, parts)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.coalesce(F.aggregate(parts, start, some, lambda s: F.struct(s["at"].alias("at"), F.flatten(s["out"]).alias("out"))), F.struct(F.lit(0).alias("at"), none.alias("out")))
+
+    return _let(rows, whole)
+
+
+SPAN = "struct<start:int,order:int,end:int,kind:string>"
 
 
 def matches(text: Column, rule: Rule, order: int) -> Column:
@@ -168,16 +235,14 @@ def matches(text: Column, rule: Rule, order: int) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     tested = found if rule.group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))
     row = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), found.alias("found"), tested.alias("tested"))
-    empty = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
 
-    def add(seen: Column, x: Column) -> Column:
-        start = seen["at"] + F.length(x["piece"])
+    def step(at: Column, x: Column) -> Column:
+        start = at + F.length(x["piece"])
         end = start + F.length(x["found"])
         span = F.struct(start.cast("int").alias("start"), F.lit(order).alias("order"), end.cast("int").alias("end"), F.lit(rule.kind).alias("kind"))
-        kept = F.when(F.length(x["tested"]) >= rule.least, F.concat(seen["spans"], F.array(span))).otherwise(seen["spans"])
-        return F.struct(F.coalesce(end, seen["at"]).cast("int").alias("at"), kept.alias("spans"))
+        return F.struct(F.coalesce(end, at).cast("int").alias("at"), F.when(F.length(x["tested"]) >= rule.least, span).alias("out"))
 
-    return F.aggregate(row, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda s: s["spans"])
+    return _fold(row, step, SPAN)["out"]
 
 
 def _joined(spans: Column) -> Column:
@@ -193,13 +258,13 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules
     """
     trigrams = vocabulary(rules)
     base = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *keep)
-    hits = materialize(candidates(postings(base, trigrams), rules, trigrams), "candidates")
+    hits = materialize(candidates(postings(base, rules, trigrams), rules, trigrams), "candidates")
     hits = hits.select(F.col("doc_id").alias("_hit"), F.col("rules").alias("_rules"))
     rows = base.join(narrow(hits), F.col("doc_id").eqNullSafe(F.col("_hit")), "left")
-    empty = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
+    empty = F.array().cast(f"array<{SPAN}>")
     parts = []
     for i, rule in enumerate(rules):
-        wanted = F.col("_rules").bitwiseAND(1 << i) != 0 if trigram_query(rule.pattern) else F.lit(True)
+        wanted = F.col("_rules").bitwiseAND(F.lit(1 << i).cast("long")) != 0 if trigram_query(rule.pattern) else F.lit(True)
         wanted = wanted & F.col("text").rlike(rule.scan or rule.pattern)
         parts.append(F.when(wanted, matches(F.col("text"), rule, i)).otherwise(empty))
     return rows.select("doc_id", "text", *keep, F.concat(*parts).alias("found"))
@@ -221,11 +286,9 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", mark: str =
     """doc_id, the columns keep, and text with every maximal run of overlapping spans replaced by mark."""
     found = find_secrets(docs, text, key, keep=keep)
 
-    def step(seen: Column, s: Column) -> Column:
-        fresh = s["start"] >= seen["at"]
-        gap = F.col("text").substr(seen["at"] + 1, s["start"] - seen["at"])
-        out = F.when(fresh, F.concat(seen["out"], gap, F.lit(mark))).otherwise(seen["out"])
-        return F.struct(F.greatest(seen["at"], s["end"]).alias("at"), out.alias("out"))
+    def step(at: Column, s: Column) -> Column:
+        gap = F.col("text").substr(at + 1, s["start"] - at)
+        return F.struct(F.greatest(at, s["end"]).alias("at"), F.when(s["start"] >= at, F.concat(gap, F.lit(mark))).alias("out"))
 
-    done = F.aggregate(F.array_sort("found"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.col("text").substr(s["at"] + 1, F.length("text"))))
+    done = _let(_fold(F.array_sort("found"), step, "string"), lambda s: F.concat(F.array_join(s["out"], ""), F.col("text").substr(s["at"] + 1, F.length("text"))))
     return found.select("doc_id", *keep, F.when(F.size("found") > 0, done).otherwise(F.col("text")).alias("text"))

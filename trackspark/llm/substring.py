@@ -9,17 +9,20 @@ exact repeats without forming pairs of documents.
 
 Probes are most of the traffic, so each task sends its distinct ones as sorted,
 delta-coded, compressed arrays, one for each hash shard.  Shards grow in number
-with the text, and a task sends a key once however many of its documents hold it,
-so neither a hot passage nor a large group of copies fills a shard.
+with the text; a task deals to FAN of them at most, and beyond that to groups of
+shards, which are dealt on level by level, so that rows stay large.  A task sends a
+key once however many of its documents hold it, so neither a hot passage nor a
+large group of copies fills a shard.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +36,8 @@ SHARD_BYTES = 6_000_000
 SHARD_WINDOWS = 800_000
 #: Windows that a task collects before it sends them.
 HELD = 1_000_000
+#: Shards that a task sends to at most; more are reached by way of groups of shards, level by level.
+FAN = 4096
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -69,9 +74,65 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return edge
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _parts(where: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """The shards in sorted where, and each one's part of the arrays."""
+    first = np.flatnonzero(_runs(where))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(where)]):
+        yield int(where[a]), tuple(x[a:b] for x in arrays)
+
+
+def levels(shards: int) -> list[int]:
+    """Numbers of groups to deal to, one after the other, the last being shards."""
+    steps = 1
+    while FAN**steps < shards:
+        steps += 1
+    return [round(shards ** (i / steps)) for i in range(1, steps)] + [shards]
+
+
+def deal(sent: DataFrame, counts: list[int], again: Callable, schema: str) -> DataFrame:
+    """Rows of groups dealt on to the groups of each next level."""
+    for n in counts[1:]:
+        sent = sent.repartition("shard").mapInArrow(again(n), schema)
+    return sent
+
+
 ANCHORS = "shard int, probes binary, blocks binary, doc_id long, anchors array<long>"
 
 
+def _probe_rows(parts: Iterable[tuple[int, np.ndarray, tuple[np.ndarray, np.ndarray] | None]]) -> pa.RecordBatch:
+    """A row for each shard: sorted probe keys by differences; block keys and their documents."""
+    rows = [(s, squeeze(np.diff(p, prepend=np.uint64(0))), squeeze(b[0], b[1].view(np.uint64)) if b else None) for s, p, b in parts]
+    n = len(rows)
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], names=_names(ANCHORS))
+
+
+def _read_probes(row: tuple[bytes, bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, docs = expand(row[1]) if row[1] is not None else np.zeros((2, 0), np.uint64)
+    return np.cumsum(expand(row[0])[0], dtype=np.uint64), keys, docs.view(np.int64)
+
+
+def resend_probes(shards: int):
+    """Rows of send_probes for groups of shards to rows for shards; anchors pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pc.is_valid(batch.column("doc_id"))
+            yield batch.filter(own)
+            rest = batch.filter(pc.invert(own))
+            for row in zip(rest.column("probes").to_pylist(), rest.column("blocks").to_pylist()):
+                probes, keys, docs = _read_probes(row)
+                where, at = shard_of(probes, shards), shard_of(keys, shards)
+                order, block_order = np.argsort(where, kind="stable"), np.argsort(at, kind="stable")
+                blocks = dict(_parts(at[block_order], keys[block_order], docs[block_order]))
+                yield _probe_rows((s, p, blocks.get(s)) for s, (p,) in _parts(where[order], probes[order]))
+
+    return run
+
+
 def send_probes(block: int, shards: int):
     """Documents to one row for each shard (distinct probe keys; block keys and their documents) and rows of anchors found in the task itself."""
 
@@ -90,12 +151,9 @@ def send_probes(block: int, shards: int):
         block_keys, block_docs, block_where = keys[alone], docs[alone], shard_of(keys[alone], shards)
         order = np.argsort(block_where, kind="stable")
         block_keys, block_docs, block_where = block_keys[order], block_docs[order], block_where[order]
-        names, rows = [c.split()[0] for c in ANCHORS.split(", ")], []
-        cuts, block_cuts = (np.searchsorted(w, np.arange(shards + 1)) for w in (where, block_where))
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
-            p, a, b = probes[cuts[s] : cuts[s + 1]], block_cuts[s], block_cuts[s + 1]
-            rows.append((s, squeeze(np.diff(p, prepend=np.uint64(0))), squeeze(block_keys[a:b], block_docs[a:b].view(np.uint64)) if b > a else None))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.list_(pa.int64()))], names=names)
+        blocks = dict(_parts(block_where, block_keys, block_docs))
+        yield _probe_rows((s, p, blocks.get(s)) for s, (p,) in _parts(where, probes))
+        names = _names(ANCHORS)
         found = aligned & several
         if found.any():
             keys, docs = keys[found], docs[found]
@@ -114,7 +172,7 @@ def send_probes(block: int, shards: int):
                 if not len(start):
                     continue
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                held.append((rolling(hashes, block)[start], ids[owner], (start - first[owner]) % block == 0))
+                held.append((rolling(hashes[:, 0], block)[start], ids[owner], (start - first[owner]) % block == 0))
                 if sum(len(x[0]) for x in held) >= HELD:
                     yield from emit(held)
                     held = []
@@ -126,20 +184,14 @@ def send_probes(block: int, shards: int):
 
 def meet_probes(table: pa.Table) -> pa.Table:
     """One shard: the block keys that two tasks' texts hold, by document, and the anchors that tasks have found themselves."""
-    probes, keys, docs = [], [], []
-    for p, b in zip(table.column("probes").to_pylist(), table.column("blocks").to_pylist()):
-        if p is not None:
-            probes.append(np.cumsum(expand(p)[0], dtype=np.uint64))
-        if b is not None:
-            k, d = expand(b)
-            keys.append(k)
-            docs.append(d.view(np.int64))
-    own = table.filter(pa.compute.is_valid(table.column("doc_id"))).select(["doc_id", "anchors"])
-    if not keys:
+    rows = [_read_probes(r) for r in zip(table.column("probes").to_pylist(), table.column("blocks").to_pylist()) if r[0] is not None]
+    own = table.filter(pc.is_valid(table.column("doc_id"))).select(["doc_id", "anchors"])
+    if not rows:
         return own
-    all_probes = np.sort(np.concatenate(probes))
-    twice = np.unique(all_probes[1:][all_probes[1:] == all_probes[:-1]])  # a task sends a key once
-    keys, docs = np.concatenate(keys), np.concatenate(docs)
+    probes, keys, docs = (np.concatenate(x) for x in zip(*rows))
+    del rows
+    probes.sort()
+    twice = np.unique(probes[1:][probes[1:] == probes[:-1]])  # a task sends a key once
     at = np.minimum(np.searchsorted(twice, keys), max(0, len(twice) - 1))
     hit = twice[at] == keys if len(twice) else np.zeros(len(keys), bool)
     keys, docs = keys[hit], docs[hit]
@@ -153,6 +205,28 @@ def meet_probes(table: pa.Table) -> pa.Table:
 WINDOWS = "shard int, keys binary, doc_id long, version long, places array<int>"
 
 
+def _window_rows(arrays: list[np.ndarray], shards: int) -> pa.RecordBatch:
+    """A row for each shard of the windows: key, check, document, version and place."""
+    where = shard_of(arrays[0], shards)
+    order = np.argsort(where, kind="stable")
+    rows = [(s, squeeze(*x)) for s, x in _parts(where[order], *(x[order].view(np.uint64) for x in arrays))]
+    n = len(rows)
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))], names=_names(WINDOWS))
+
+
+def resend_windows(shards: int):
+    """Rows of send_windows for groups of shards to rows for shards; removed places pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pc.is_valid(batch.column("doc_id"))
+            yield batch.filter(own)
+            for data in batch.filter(pc.invert(own)).column("keys").to_pylist():
+                yield _window_rows(expand(data), shards)
+
+    return run
+
+
 def send_windows(block: int, window: int, shards: int):
     """Documents with anchors to their windows around anchors: each task's first document of a window to the window's shard, the others as removed."""
 
@@ -163,17 +237,10 @@ def send_windows(block: int, window: int, shards: int):
         edge = _runs(key, check)
         least = docs[np.flatnonzero(edge)][np.cumsum(edge) - 1]
         first = docs == least
-        names, rows = [c.split()[0] for c in WINDOWS.split(", ")], []
-        where = shard_of(key[first], shards)
-        order = np.argsort(where, kind="stable")
-        sent = [x[first][order].view(np.uint64) for x in (key, check, docs, versions, places)]
-        cuts = np.searchsorted(where[order], np.arange(shards + 1))
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
-            rows.append((s, squeeze(*(x[cuts[s] : cuts[s + 1]] for x in sent))))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.list_(pa.int32()))], names=names)
+        yield _window_rows([x[first] for x in (key, check, docs, versions, places)], shards)
         if not first.all():
             got = _by_document(docs[~first], versions[~first], places[~first])
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(got[0]) % shards, pa.int32()), pa.nulls(len(got[0]), pa.binary()), *got], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(got[0]) % shards, pa.int32()), pa.nulls(len(got[0]), pa.binary()), *got], names=_names(WINDOWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -184,7 +251,7 @@ def send_windows(block: int, window: int, shards: int):
                 start, owner = run_owner(first, block)
                 if not len(start):
                     continue
-                keys = rolling(hashes, block)[start]
+                keys = rolling(hashes[:, 0], block)[start]
                 anchors = part.column("anchors")
                 hit = np.zeros(len(hashes) + 1, np.int64)
                 bounds = np.searchsorted(owner, np.arange(part.num_rows + 1))
@@ -198,9 +265,8 @@ def send_windows(block: int, window: int, shards: int):
                 seen = np.concatenate([[0], np.cumsum(hit)])
                 near = seen[start + window - block + 1] > seen[start]
                 start, owner = start[near], owner[near]
-                other = words(texts, fold=False, which=1)[0]
                 ids, versions = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "version"))
-                held.append((rolling(hashes, window)[start], rolling(other, window, 1)[start], ids[owner], versions[owner], start - first[owner]))
+                held.append((rolling(hashes[:, 0], window)[start], rolling(hashes[:, 1], window)[start], ids[owner], versions[owner], start - first[owner]))
                 if sum(len(x[0]) for x in held) >= HELD:
                     yield from emit(held)
                     held = []
@@ -219,7 +285,7 @@ def _by_document(docs: np.ndarray, versions: np.ndarray, places: np.ndarray) ->
 
 def meet_windows(table: pa.Table) -> pa.Table:
     """One shard: starts of windows that a smaller document holds as well, by document."""
-    own = table.filter(pa.compute.is_valid(table.column("doc_id"))).select(["doc_id", "version", "places"])
+    own = table.filter(pc.is_valid(table.column("doc_id"))).select(["doc_id", "version", "places"])
     got = [expand(x) for x in table.column("keys").to_pylist() if x is not None]
     if not got:
         return own
@@ -243,19 +309,22 @@ def removed_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", wind
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id IS NOT NULL").withColumn("version", F.xxhash64("text"))
     base = base.filter(F.octet_length("text") >= 2 * window - 1)  # fewer bytes hold no window
     keys = base.select("doc_id", "version", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("size"))
-    least = keys.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("most > least")
+    least = keys.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("most > least").select("digest", "least")
+    least = materialize(least, "least")  # apart from the join, so that it is one of plain exchanges, which AQE may split
     copies = materialize(keys.join(least, "digest").filter("doc_id > least").select("doc_id", "version").distinct(), "copies")
     total = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
+    counts = levels(max(1, -(-total // SHARD_BYTES)))
     rest = base.join(narrow(copies), ["doc_id", "version"], "left_anti")
-    sent = bounded(rest.select("doc_id", "text")).mapInArrow(send_probes(block, shards), ANCHORS)
+    sent = bounded(rest.select("doc_id", "text")).mapInArrow(send_probes(block, counts[0]), ANCHORS)
+    sent = deal(sent, counts, resend_probes, ANCHORS)
     met = sent.groupBy("shard").applyInArrow(meet_probes, "doc_id long, anchors array<long>")
     anchors = materialize(met.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors")), "anchors")
     wanted = rest.join(narrow(anchors.select("doc_id")), "doc_id", "left_semi").join(anchors, "doc_id")
     # at most block + 1 windows hold an anchor, so this many shards hold SHARD_WINDOWS each
     hits = anchors.agg(F.sum(F.aggregate("anchors", F.lit(0).cast("long"), lambda a, x: a + F.size(x)))).first()[0] or 0
-    shards = max(1, -(-hits * (block + 1) // SHARD_WINDOWS))
-    sent = wanted.select("doc_id", "version", "text", "anchors").mapInArrow(send_windows(block, window, shards), WINDOWS)
+    counts = levels(max(1, -(-hits * (block + 1) // SHARD_WINDOWS)))
+    sent = wanted.select("doc_id", "version", "text", "anchors").mapInArrow(send_windows(block, window, counts[0]), WINDOWS)
+    sent = deal(sent, counts, resend_windows, WINDOWS)
     met = sent.groupBy("shard").applyInArrow(meet_windows, "doc_id long, version long, places array<int>")
     starts = met.groupBy("doc_id", "version").agg(F.collect_list("places").alias("places"))
 
@@ -285,7 +354,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     """
     spans = removed_spans(docs, text, key, window)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
-    rows = rows.join(narrow(spans), ["doc_id", "version"], "left").select("doc_id", "text", "copy", "spans")
+    rows = rows.join(narrow(spans, width=F.lit(64) + 4 * F.size("spans")), ["doc_id", "version"], "left").select("doc_id", "text", "copy", "spans")
     names = [c.split()[0] for c in KEPT.split(", ")] + ["kept_text"] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
