@@ -19,18 +19,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the smallest id."""
-    classes = neardup.near_duplicates(docs)
-    gone = classes.filter("NOT kept").select("doc_id").distinct()
-    gone = common.materialize(gone, "gone")
-    return docs.join(common.narrow(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of near duplicates, judged by id and text: the smallest id's."""
+    return neardup.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy, edited or not, of a benchmark item."""
+    """Rows whose text is without a copy, edited or not, of a benchmark item."""
     found = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = common.materialize(found.select("doc_id").distinct(), "gone")
-    return docs.join(common.narrow(gone), "doc_id", "left_anti").select(*docs.columns)
+    gone = common.materialize(found.select(F.col("doc_id").alias("_gone"), F.col("version").alias("_version")).distinct(), "gone")
+    keyed = docs.withColumn("_version_of", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.col("_version_of") == F.col("_version"))
+    return keyed.join(common.narrow(gone), same, "left_anti").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.materialize(stage(spark, docs, sf_dir), name)
+        common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
