@@ -2,8 +2,11 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -408,6 +411,50 @@ def test_languages(spark):
     assert {x.lang_pred for x in untrained} == {"und"}
 
 
+def plain_grams(text):
+    """Grams of a text's words by plain string work, with the numbers that break ties among equally frequent ones."""
+    letters = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text or "")
+    found = {}
+    for w in letters.split():
+        for c in w:
+            found[ord(c)] = found.get(ord(c), 0) + 1
+        padded = [0, *map(ord, w), 0]
+        for n in (2, 3):
+            for i in range(len(padded) - n + 1):
+                code = 0
+                for c in padded[i : i + n]:
+                    code = code << 21 | c
+                code |= (n == 3) << 63
+                found[code] = found.get(code, 0) + 1
+    return found
+
+
+def plain_rank(found, size):
+    return {c: i for i, (c, _) in enumerate(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:size])}
+
+
+def test_languages_equal_a_plain_program(spark):
+    r = random.Random(16)
+    letters = {"aa": "abcdeéß", "bb": "cdefgh", "cc": "xyzab", "dd": "xyzab"}
+    rows = [(i, " ".join("".join(r.choice(letters[x]) for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 40))) + " 7! Ж", x) for i, x in enumerate(["aa", "bb", "cc"] * 20)]
+    rows += [(100 + i, t, "dd") for i, t, x in rows if x == "cc"]  # as like as can be: ties
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    size = 60
+    totals = {}
+    for _, t, x in rows:
+        for c, n in plain_grams(t).items():
+            totals.setdefault(x, {})[c] = totals.setdefault(x, {}).get(c, 0) + n
+    profiles = {x: plain_rank(found, size) for x, found in totals.items()}
+    got = {x.doc_id: x for x in langid.identify(docs.drop("lang"), langid.learn(docs, "true", size=size)).collect()}
+    for i, t, _ in rows:
+        mine = plain_rank(plain_grams(t), size)
+        away = {x: sum(min(size, abs(p[c] - k)) if c in p else size for c, k in mine.items()) / (size * len(mine)) for x, p in profiles.items()}
+        best = min(sorted(away), key=away.get)
+        second = min(v for x, v in away.items() if x != best)
+        assert got[i].lang_pred == best and got[i].lang_pred != "dd"
+        assert got[i].score == pytest.approx(second / (second + away[best]) if second else 0.5)
+
+
 def test_rank_distance_by_hand():
     a, b, c = (np.uint64(x) for x in (1, 2, 3))
     p = langid.Profiles(["x", "y"], [np.array([a, b]), np.array([c, a])], 2)
@@ -436,14 +483,34 @@ def test_quality(spark):
 
 
 def test_votes_equal_plain_cosines():
-    texts = pa.array(["abc def ghi", "ABC!! DEF!!", "a b c d", "x y z", "hello, world", "HELLO!! WORLD!!"] * 3, pa.large_string())
-    terms = quality.term_counts(texts)
-    model = quality.Model(terms, np.array([1, 0, 1, 1, 1, 0] * 3), 0.7, dimensions=4, neighbours=5)
-    for i, z in enumerate(model.project(terms)):
-        cosine = model.vectors @ z
-        near = np.argsort(-cosine, kind="stable")[:5]
-        assert cosine[near].min() >= np.sort(cosine)[-5] - 1e-6
-    assert model.scores(terms)[0] > 0.9 > 0.1 > model.scores(terms)[1]
+    r, words = random.Random(17), vocabulary(17)
+    kinds = [lambda w: " ".join(w) + ".", lambda w: " ".join(x.upper() for x in w) + "!!", lambda w: ", ".join(w), lambda w: " ".join(w[:2] * 8)]
+    texts = [r.choice(kinds)([r.choice(words) for _ in range(r.randint(2, 30))]) for _ in range(150)] + ["", "x", "same text", "same text", "same text"]
+    labels = np.array([i % 3 != 0 for i in range(len(texts))], int)
+    terms = quality.term_counts(pa.array(texts, pa.large_string()))
+    model = quality.Model(terms, labels, 0.7, dimensions=40, neighbours=5)
+    got = model.scores(terms)
+    vectors = [model.project([t])[0].astype(float) for t in terms]
+    for z, score in zip(vectors, got):
+        cosine = [sum(a * b for a, b in zip(z.tolist(), v.tolist())) for v in vectors]
+        least = sorted(cosine)[-5]
+        votes = [(np.exp(8 * (c - 1)), y) for c, y in zip(cosine, labels) if c >= least - quality.TIE]
+        share = (sum(w for w, y in votes if y) + 1e-6) / (sum(w for w, _ in votes) + 2e-6)
+        one, zero = share * 0.7 / labels.mean(), (1 - share) * 0.3 / (1 - labels.mean())
+        assert score == pytest.approx(one / (one + zero), abs=1e-3)
+    assert got[-1] == pytest.approx(got[-2], abs=1e-6)
+
+
+def test_a_model_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(i, f"Text number {i}." if i % 2 else f"TEXT!! {i}!!") for i in range(40)] + [(7, "another text of one id"), (7, "a third one")]
+    known = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    made = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        made.append(rows_of(quality.score(docs, quality.fit(docs, known, "true")), "doc_id", "score"))
+    assert made[0] == made[1]
+    none = docs.limit(0)
+    assert quality.score(none, quality.fit(none, known, "true")).count() == 0
 
 
 # packing
@@ -585,6 +652,32 @@ def test_recall_and_verified_rows_of_a_block(made, verified):
     assert share < verified
 
 
+FRESH = """
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from trackspark.llm import ann, decontam, langid, neardup, packing, quality, sharding, substring
+spark = SparkSession.builder.master("local[2]").config("spark.python.worker.reuse", "false").config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false").getOrCreate()
+text = " ".join(f"word{i}" for i in range(90))
+docs = spark.createDataFrame([(1, text, "aa"), (2, "start " + text, "aa"), (3, text + " end", "bb"), (4, None, None)], "doc_id long, text string, lang string").repartition(4)
+assert substring.remove_repeats(docs).filter("n_removed > 0").count() == 2
+assert neardup.near_duplicates(docs).filter("kept").count() == 2
+assert decontam.leaks(docs, docs.filter("doc_id = 1").withColumnRenamed("doc_id", "item_id")).count() == 3
+assert langid.identify(docs, langid.learn(docs, "true")).count() == 4
+labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+assert quality.score(docs, quality.fit(docs, labels, "true")).count() == 4
+assert packing.pack(docs).count() >= 4 and sharding.shard(docs).count() == 4
+vectors = spark.range(50).select(F.col("id").alias("vec_id"), F.array(*(F.sin(F.col("id") * k) for k in (1, 2, 3))).alias("embedding"))
+assert ann.search(vectors, "vec_id % 20 = 0").count() == 40
+print("all well")
+"""
+
+
+def test_every_operator_runs_in_fresh_workers():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", FRESH], capture_output=True, text=True, timeout=400, env=os.environ | {"PYTHONPATH": root}, cwd=root)
+    assert "all well" in done.stdout, done.stderr[-3000:]
+
+
 # sharding
 
 

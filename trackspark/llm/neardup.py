@@ -227,8 +227,8 @@ def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = materialize(first.select("item", "id", "c", "n_shingles", (F.col("n_shingles") - F.col("at") + 1).alias("left")), "prefixes")
     discard(items)
     x = first.filter(F.col("left") * (100 + percent) >= percent * 2 * F.col("n_shingles")).select("item", *(F.col(k).alias(f"{k}_x") for k in ("id", "c", "n_shingles", "left")))
-    y = first.select("item", *(F.col(k).alias(f"{k}_y") for k in ("id", "c", "n_shingles", "left")))
+    y = first.select(F.col("item").alias("item_y"), *(F.col(k).alias(f"{k}_y") for k in ("id", "c", "n_shingles", "left")))
     smaller = (F.col("n_shingles_x") < F.col("n_shingles_y")) | ((F.col("n_shingles_x") == F.col("n_shingles_y")) & (F.col("id_x") < F.col("id_y")))
     fits = F.least("left_x", "left_y") * (100 + percent) >= percent * (F.col("n_shingles_x") + F.col("n_shingles_y"))
-    pairs = x.join(y, (x["item"] == y["item"]) & smaller & (F.col("c_x") != F.col("c_y")) & fits)
+    pairs = x.join(y, (F.col("item") == F.col("item_y")) & smaller & (F.col("c_x") != F.col("c_y")) & fits)
     return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()

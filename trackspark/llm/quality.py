@@ -23,6 +23,8 @@ from .common import bounded, chunks, text_bytes, text_column, words
 SAMPLE_PER_LABEL = 2048
 DIMENSIONS = 48
 NEIGHBOURS = 15
+#: Cosines that differ by less tie.
+TIE = 1e-5
 BLOCK = 512
 #: Terms, those in most rows of the sample, that the singular vectors are made from.
 MAX_TERMS = 2000
@@ -112,7 +114,7 @@ class Model:
             near = self.project(rows[i : i + BLOCK]) @ self.vectors.T
             k = min(self.neighbours, near.shape[1])
             least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
-            votes = np.where(near >= least[:, None], np.exp(8 * (near - 1)), 0)  # all that tie with the last vote too
+            votes = np.where(near >= least[:, None] - TIE, np.exp(8 * (near - 1)), 0)  # all that tie with the last vote too
             share = (votes @ self.labels + 1e-6) / (votes.sum(axis=1) + 2e-6)
             odds1, odds0 = share * self.prior / self.labels.mean(), (1 - share) * (1 - self.prior) / (1 - self.labels.mean())
             out[i : i + BLOCK] = odds1 / (odds1 + odds0)

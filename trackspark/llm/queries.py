@@ -83,7 +83,51 @@ def _spans_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+_WORD = 1 << 64
+
+
+def _finalised(x: int) -> int:
+    """The 64-bit finaliser in plain integers."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % _WORD
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % _WORD
+    return x ^ x >> 31
+
+
+def _step_sql(source: str, seed: int, rounds: int) -> str:
+    """One pass of the Feistel rounds over rows (doc_id, size, text_crc32, n, a, b, x) of source."""
+    query = f"SELECT * EXCLUDE (x), x // b AS l, x % b AS r FROM {source}"
+    for i in range(rounds):
+        key = _finalised(((i + 1) * 0x9E3779B97F4A7C15 + seed) % _WORD)
+        fixed, moved, size = ("r", "l", "a") if i % 2 == 0 else ("l", "r", "b")
+        query = f"SELECT *, xor(CAST({fixed} AS UHUGEINT), CAST({key} AS UHUGEINT)) AS m FROM ({query})"
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            query = f"SELECT * REPLACE ((xor(m, m >> {shift}) * CAST({factor} AS UHUGEINT)) % CAST({_WORD} AS UHUGEINT) AS m) FROM ({query})"
+        query = f"SELECT * EXCLUDE (m) REPLACE (({moved} + CAST(xor(m, m >> 31) % CAST({size} AS UHUGEINT) AS BIGINT)) % {size} AS {moved}) FROM ({query})"
+    return f"SELECT doc_id, size, text_crc32, row_number, n, a, b, l * b + r AS x FROM ({query})"
+
+
+def _sharding_sql(shards: int = 40, seed: int = 20240101, rounds: int = 6) -> str:
+    """CRC-32 byte by byte, global row numbers, and the permutation with cycle walking."""
+    return f"""
+        WITH RECURSIVE t AS (
+            SELECT list_transform(range(256), lambda k: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k)) AS tab),
+        h AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) + 16 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        bytes AS (SELECT doc_id, size, list_transform(range(1, 2 * (size - 16), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)) AS bytes FROM h),
+        d AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(tab[1 + (xor(c, x) & 255)], c >> 8), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM bytes, t),
+        s AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row_number, count(*) OVER () AS n FROM d),
+        g AS (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM s),
+        p AS (SELECT doc_id, size, text_crc32, row_number, n, a, (n + a - 1) // a AS b, row_number AS x FROM g),
+        w AS (
+            {_step_sql("p", seed, rounds)}
+            UNION ALL
+            {_step_sql("(SELECT * FROM w WHERE x >= n)", seed, rounds)})
+        SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(x % {shards} AS INTEGER) AS shard, x // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard, row_number
+        FROM w WHERE x < n
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_sharding": _sharding_sql(),
     "op2_neardup": rf"""
         WITH RECURSIVE d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS.replace(chr(92) * 2, chr(92))}') AS w FROM documents),
