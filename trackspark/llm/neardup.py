@@ -7,7 +7,7 @@ twice ``coordinates`` rounds and each coordinate agrees with probability J.
 
 Cost and scale: signatures are made in one pass over the texts and written once;
 equal sets collapse to one node first, so copies never meet in a band.
-Within a band bucket, members are compared with the bucket's smallest member
+Within a band bucket, members are compared with the bucket's most central member
 only; pairs across components that are still apart are then found by an exact
 prefix filter, so a bucket of copies costs its size and not its square.  No link
 between classes is lost to this: a pair that shares a bucket is in one component
@@ -188,11 +188,16 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
 def _links(docs: DataFrame, nodes: DataFrame, text: str, key: str, percent: int, size: int) -> DataFrame:
     """Verified links between nodes (equal sets) that join all classes."""
     reps = nodes.select(F.col("node").alias("id"), "n_shingles", F.explode("bands").alias("band"))
-    pivots = reps.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("last > pivot").select("band", "pivot")
-    pivots = materialize(pivots, "pivots")  # apart from the join, so that it is one of plain exchanges, which AQE may split
-    # members of buckets with two nodes or more, each with the bucket's smallest
-    shared = materialize(reps.join(pivots, "band"), "shared")
-    stars = materialize(shared.filter("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    sizes = reps.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sizes = materialize(sizes, "sizes")  # apart from the join, so that it is one of plain exchanges, which AQE may split
+    # members of buckets with two nodes or more
+    shared = materialize(reps.join(sizes, "band"), "shared")
+    # each with the bucket's most central node, the one that meets most others: the original is that of its edited copies
+    degrees = shared.groupBy("id").agg(F.sum("size").alias("degree"))
+    pivots = shared.select("band", "id").join(degrees, "id").groupBy("band").agg(F.max(F.struct("degree", (-F.col("id")).alias("less"))).alias("p"))
+    pivots = materialize(pivots.select("band", (-F.col("p.less")).alias("pivot")), "pivots")
+    stars = shared.join(pivots, "band").filter("id <> pivot").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
+    stars = materialize(stars.distinct(), "stars")
     wanted = materialize(nodes.join(shared.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("node", F.col("least.doc_id").alias("want_id"), F.col("least.version").alias("want_version")), "wanted")
     texts = _entities(docs, text, key).join(narrow(wanted), F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("version") == F.col("want_version"))).select("node", "text")
     sets = materialize(full_sets(texts, size), "sets")
@@ -205,7 +210,7 @@ def _links(docs: DataFrame, nodes: DataFrame, text: str, key: str, percent: int,
     rest = materialize(labelled.join(apart, "band", "left_semi").select("id", "n_shingles", "c").distinct(), "apart")
     more = _across(rest, sets, percent).join(stars, ["a", "b"], "left_anti")
     out = materialize(edges.unionAll(verified(more, sets, percent)), "edges")
-    discard(pivots, shared, stars, wanted, sets, edges, labelled, rest)
+    discard(sizes, pivots, shared, stars, wanted, sets, edges, labelled, rest)
     return out
 
 
