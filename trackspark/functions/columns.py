@@ -14,9 +14,11 @@ def segment_window(order: str = "frame"):
 
 def middle(values: Column) -> Column:
     """Median of an array without nulls: the mean of its two middle elements, null if it is empty."""
-    ordered = F.sort_array(values)
-    n = F.size(values)
-    return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
+    def of(ordered: Column) -> Column:
+        n = F.size(ordered)
+        return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+
+    return F.get(F.transform(F.array(F.sort_array(values)), of), 0)  # sorted once
 
 
 def no_nan(value: Column) -> Column:

@@ -15,9 +15,12 @@ def grid_size(width: int, height: int) -> tuple[int, int]:
 def histogram(rows: DataFrame, width: int, height: int, x: str = "ground_x_smooth", y: str = "ground_y_smooth") -> DataFrame:
     """bx, by, n of the non-empty cells; points outside are left out, the last cell of either axis includes its far edge."""
     nx, ny = grid_size(width, height)
-    inside = rows.filter(F.col(x).between(0, width) & F.col(y).between(0, height))
-    cells = inside.select(F.least(F.floor(F.col(x) / float(width) * nx), F.lit(nx - 1)).cast("int").alias("bx"), F.least(F.floor(F.col(y) / float(height) * ny), F.lit(ny - 1)).cast("int").alias("by"))
-    return cells.groupBy("bx", "by").agg(F.count(F.lit(1)).alias("n"))
+    # a sum of flags and not a filter, which would compute the smoothed places once more below
+    inside = F.col(x).between(0, width) & F.col(y).between(0, height)
+    bx, by = F.least(F.floor(F.col(x) / float(width) * nx), F.lit(nx - 1)), F.least(F.floor(F.col(y) / float(height) * ny), F.lit(ny - 1))
+    cells = rows.select(F.coalesce(inside, F.lit(False)).alias("inside"), bx.cast("int").alias("bx"), by.cast("int").alias("by"))
+    cells = cells.select(F.when(F.col("inside"), F.col("bx")).alias("bx"), F.when(F.col("inside"), F.col("by")).alias("by"), F.col("inside").cast("long").alias("one"))
+    return cells.groupBy("bx", "by").agg(F.sum("one").alias("n")).filter("n > 0")
 
 
 def kernel(sigma: float = 2.0) -> list[float]:

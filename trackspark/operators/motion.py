@@ -23,28 +23,51 @@ def place_in_segment(rows: DataFrame, order: str = "timestamp_s") -> DataFrame:
     return rows.withColumns({"_n": F.count(F.lit(1)).over(Window.partitionBy("track_id", "segment_id")), "_i": F.row_number().over(segment_window(order))})
 
 
-def smoothed(column: str, window: int, order: str = "timestamp_s") -> Column:
-    """Quadratic least-squares smoothing (Savitzky & Golay 1964) with _n and _i at hand.
+def _fit(moments: tuple[Column, Column, Column], size: Column, h: Column, e: Column) -> Column:
+    """The least-squares parabola through size values at -h .. h, at e, from the sums of v, k v and k k v."""
+    s0, s1, s2 = moments
+    spread, mean = h * (h + 1) * (h * 2 + 1) / 3, h * (h + 1) / 3
+    q = h * (h + 1) * (h * 2 + 1) * (h * h * 3 + h * 3 - 1) / 15 - size * mean * mean
+    return s0 / size + e * s1 / spread + (e * e - mean) * (s2 - mean * s0) / q
+
+
+def smooth(rows: DataFrame, columns: dict[str, str], window: int, order: str = "timestamp_s") -> DataFrame:
+    """Quadratic least-squares smoothing (Savitzky & Golay 1964) of columns under new names, with _n and _i at hand.
 
     The window is the greater of 5 and window, at most the segment, and odd; the first
     and last half windows take the fit of the end window; fewer than 5 rows stay as they are.
+    Inside a segment the fit is a fixed weighted sum of the neighbours, and the end
+    windows need three sums each, so nothing is collected.
     """
     widest = max(5, window)
-    near = F.collect_list(column).over(Window.partitionBy("track_id", "segment_id").orderBy(order).rowsBetween(-(widest - 1), widest - 1))
+    widest -= widest % 2 == 0
+    reach = widest // 2
+    part, line = Window.partitionBy("track_id", "segment_id"), segment_window(order)
     n, i = F.col("_n"), F.col("_i") - 1
     size = F.least(F.lit(widest).cast("long"), n)
     size = size - (size % 2 == 0).cast("long")
-    h = ((size - 1) / 2).cast("long")
-    begin = F.greatest(F.lit(0).cast("long"), F.least(i - h, n - size))
-    first = F.greatest(F.lit(0).cast("long"), i - (widest - 1))
-    values = F.slice(near, (begin - first + 1).cast("int"), size.cast("int"))
-    hd, wd = h.cast("double"), size.cast("double")
-    s2, m2 = hd * (hd + 1) * (hd * 2 + 1) / 3, hd * (hd + 1) / 3
-    s4 = hd * (hd + 1) * (hd * 2 + 1) * (hd * hd * 3 + hd * 3 - 1) / 15
-    q = s4 - wd * m2 * m2
-    e = (i - begin - h).cast("double")
-    terms = F.transform(values, lambda v, k: v * (F.lit(1.0) / wd + e * (k - h) / s2 + (e * e - m2) * ((k - h) * (k - h) - m2) / q))
-    return F.when(n < 5, F.col(column)).otherwise(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
+    rows = rows.withColumns({"_size": size.cast("double"), "_h": ((size - 1) / 2).cast("long").cast("double"), "_at": i.cast("double")})
+    size, h, at = F.col("_size"), F.col("_h"), F.col("_at")
+    first, last = at - h, at - (n - size) - h  # places in the end windows
+    mean = reach * (reach + 1) / 3
+    q = reach * (reach + 1) * (2 * reach + 1) * (3 * reach * reach + 3 * reach - 1) / 15 - widest * mean * mean
+    weight = [1 / widest - mean * (k * k - mean) / q for k in range(reach + 1)]
+    sums, near = {}, {}
+    for name, c in columns.items():
+        for end, place, inside in (("f", first, at < size), ("l", last, at >= n - size)):
+            for r, factor in enumerate((F.lit(1.0), place, place * place)):
+                sums[f"_{end}{r}_{name}"] = F.sum(F.when(inside, F.col(c) * factor)).over(part)
+        for k in range(1, reach + 1):
+            near[f"_b{k}_{name}"], near[f"_a{k}_{name}"] = F.lag(c, k).over(line), F.lead(c, k).over(line)
+    rows = rows.withColumns(near).withColumns(sums)
+    out = {}
+    for name, c in columns.items():
+        middle = F.col(c) * weight[0]
+        for k in range(1, reach + 1):
+            middle = middle + (F.col(f"_b{k}_{name}") + F.col(f"_a{k}_{name}")) * weight[k]
+        ends = [_fit(tuple(F.col(f"_{end}{r}_{name}") for r in range(3)), size, h, place) for end, place in (("f", first), ("l", last))]
+        out[name] = F.when(n < 5, F.col(c)).when(at <= h, ends[0]).when(at >= n - 1 - h, ends[1]).otherwise(middle)
+    return rows.withColumns(out).drop(*sums, *near, "_size", "_h", "_at")
 
 
 def motion_columns(rows: DataFrame, x: str, y: str, unit: str, window: int) -> DataFrame:
@@ -56,7 +79,7 @@ def motion_columns(rows: DataFrame, x: str, y: str, unit: str, window: int) -> D
         return gradient(c, "timestamp_s", w, n, i)
 
     px, py, vx, vy, v = f"position_x_{unit}", f"position_y_{unit}", f"velocity_x_{unit}_s", f"velocity_y_{unit}_s", f"speed_{unit}_s"
-    rows = rows.withColumns({px: smoothed(x, window), py: smoothed(y, window)})
+    rows = smooth(rows, {px: x, py: y}, window)
     rows = rows.withColumns({vx: slope(px), vy: slope(py)})
     rows = rows.withColumn(v, F.hypot(vx, vy))
     ax, ay = f"acceleration_x_{unit}_s2", f"acceleration_y_{unit}_s2"

@@ -79,13 +79,14 @@ def rolling_median(rows: DataFrame, columns: dict[str, str], window: int) -> Dat
     """Centred rolling medians over window frames, or over the segment's length where that is less; new names to columns."""
     part = Window.partitionBy("track_id", "segment_id")
     rows = rows.withColumn("_w", F.least(F.lit(window), F.count(F.lit(1)).over(part)).cast("int"))
-    around = part.orderBy("frame").rowsBetween(-(window // 2), window // 2)
+    line = part.orderBy("frame")
     low, high = -F.floor(F.col("_w") / 2), F.floor((F.col("_w") - 1) / 2)
 
     def median(c: str) -> Column:
-        near = F.collect_list(F.struct(F.col("frame").alias("f"), F.col(c).alias("v"))).over(around)
-        inside = F.filter(near, lambda s: (s["f"] - F.col("frame")).between(low, high) & s["v"].isNotNull())
-        return middle(F.transform(inside, lambda s: s["v"]))
+        # rows of a segment are dense, so neighbours in frames are neighbours in rows
+        near = [F.lag(c, -k).over(line) if k < 0 else F.lead(c, k).over(line) if k else F.col(c) for k in range(-(window // 2), window // 2 + 1)]
+        inside = [F.when(F.lit(k).between(low, high), v) for k, v in zip(range(-(window // 2), window // 2 + 1), near)]
+        return middle(F.array_compact(F.array(*inside)))
 
     return rows.withColumns({new: median(c) for new, c in columns.items()}).drop("_w")
 
