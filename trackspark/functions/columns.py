@@ -18,13 +18,47 @@ def middle(values: Column) -> Column:
         n = F.size(ordered)
         return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
 
-    return F.get(F.transform(F.array(F.sort_array(values)), of), 0)  # sorted once
+    return let(F.sort_array(values), of)
 
 
 def no_nan(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def finite(value: Column) -> Column:
+    """The value, or null where it is NaN or infinite."""
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once for each row."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def round_exact(value: Column, places: int) -> Column:
+    """A double rounded to decimal places by its binary value, exact ties to the even digit, as Python rounds.
+
+    The product with the power of ten is taken with its error (Dekker 1971), so a value
+    that merely prints as a tie falls to its true side.
+    """
+    scale, split = float(10**places), 134217729.0
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        high = x * split - (x * split - x)
+        return high, x - high
+
+    def of(v: Column) -> Column:
+        product = v * scale
+        (vh, vl), (sh, sl) = halves(v), halves(F.lit(scale))
+        error = ((vh * sh - product) + vh * sl + vl * sh) + vl * sl
+        down = F.floor(product).cast("double")
+        above = (product - down - 0.5) + error
+        up = (above > 0) | ((above == 0) & (F.pmod(down, F.lit(2.0)) == 1.0))
+        return (down + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / scale
+
+    return F.when(F.abs(value) < 1e9, let(value.cast("double"), of)).otherwise(value)
+
+
 def positive_part(value: Column) -> Column:
     return F.when(value < 0, F.lit(0.0)).otherwise(value)
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import box_area
+from ..functions.columns import box_area, let
 
 #: Fixed values of the data format.
 SIZE_SHORT = {"small_passenger_vehicle": "S", "medium_passenger_vehicle": "M", "large_passenger_vehicle": "L", "two_wheeler": "2W", "heavy_vehicle": "HGV"}
@@ -21,8 +18,10 @@ def longest_segments(objects: DataFrame) -> DataFrame:
     return objects.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def stable_tracks(objects: DataFrame) -> DataFrame:
-    return longest_segments(objects).filter("duration_s >= 2.0 AND raw_class_consistency >= 0.80 AND color_confidence >= 0.55 AND displacement_px >= 12.0")
+def stable_tracks(objects: DataFrame, seconds: float = 2.0, consistency: float = 0.80, color: float = 0.55, displacement_px: float = 12.0) -> DataFrame:
+    """Longest segments that last, keep their class and colour and move; the defaults are fixed values of the evidence format."""
+    good = (F.col("duration_s") >= seconds) & (F.col("raw_class_consistency") >= consistency) & (F.col("color_confidence") >= color) & (F.col("displacement_px") >= displacement_px)
+    return longest_segments(objects).filter(good)
 
 
 def shown_rows(raw: DataFrame, tracks: DataFrame, least_confidence: float, most: int) -> DataFrame:
@@ -75,39 +74,80 @@ def overlapping_pairs(rows: DataFrame) -> DataFrame:
     return a.join(b, "frame").filter((F.col("a") < F.col("b")) & hit).select("frame", "a", "b")
 
 
+#: Fixed values of the evidence format: where a label may stand, from its box, in this order.
+SLOTS = (("x1", "y1", 0, -7, -1), ("x1", "y2", 0, 7, 1), ("x2", "y1", 3, 3, 0))
+
+
 def pack_labels(rows: DataFrame, width: int, height: int, char_width: int = 7, text_height: int = 9, baseline: int = 4) -> DataFrame:
     """frame, place, slot and background of each label: the first of three slots that is not empty and free; slot is null if none is.
 
-    Each frame's few shown rows are placed in their order; text is as wide as its
-    characters, since fonts belong to a drawing adapter.
+    A fold over each frame's few shown rows in their order, in the JVM; text is as wide
+    as its characters, since fonts belong to a drawing adapter.
     """
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            taken: dict[int, list[tuple[int, int, int, int]]] = {}
-            for r in frame.itertuples(index=False):
-                for key, _, label, x1, y1, x2, y2 in sorted(zip(r.frames, r.places, r.labels, r.x1s, r.y1s, r.x2s, r.y2s), key=lambda t: (t[0], t[1])):
-                    size = char_width * len(label)
-                    used = taken.setdefault(key, [])
-                    chosen = (None, None, None, None, None)
-                    for slot, (tx, ty) in enumerate(((x1, y1 - text_height - baseline - 7), (x1, y2 + text_height + baseline + 7), (x2 + 3, y1 + text_height + 3))):
-                        box = (max(0, tx - 2), max(0, ty - text_height - 3), min(width - 1, tx + size + 3), min(height - 1, ty + baseline + 2))
-                        free = all(box[0] >= u[2] or box[2] <= u[0] or box[1] >= u[3] or box[3] <= u[1] for u in used)
-                        if box[2] > box[0] and box[3] > box[1] and free:
-                            used.append(box)
-                            chosen = (slot, *box)
-                            break
-                    out.append((key, _, *chosen))
-            yield pd.DataFrame(out, columns=["frame", "place", "slot", "left", "top", "right", "bottom"]).astype({c: "Int32" for c in ("slot", "left", "top", "right", "bottom")})
-
-    grouped = rows.groupBy("frame").agg(*(F.collect_list(F.struct("place", F.col(c).alias("v"))).alias(f"_{c}") for c in ("label", "ox1", "oy1", "ox2", "oy2")))
-    plain = grouped.select(
-        F.transform("_label", lambda s: F.col("frame")).alias("frames"),
-        F.transform("_label", lambda s: s["place"]).alias("places"),
-        *(F.transform(f"_{c}", lambda s: s["v"]).alias(n) for c, n in (("label", "labels"), ("ox1", "x1s"), ("oy1", "y1s"), ("ox2", "x2s"), ("oy2", "y2s"))),
-    )
-    return plain.mapInPandas(fold, "frame long, place int, slot int, left int, top int, right int, bottom int")
+    box = "struct<left:int,top:int,right:int,bottom:int>"
+    kind = "array<struct<place:int,slot:int,left:int,top:int,right:int,bottom:int>>"
+
+    def options(r: Column) -> Column:
+        out = []
+        for slot, (ax, ay, dx, dy, side) in enumerate(SLOTS):
+            tx = r[ax] + dx
+            ty = r[ay] + dy + (side * (text_height + baseline) if side else text_height)
+            edges = (F.greatest(F.lit(0), tx - 2), F.greatest(F.lit(0), ty - text_height - 3), F.least(F.lit(width - 1), tx + F.length(r["label"]) * char_width + 3), F.least(F.lit(height - 1), ty + baseline + 2))
+            out.append(F.struct(F.lit(slot).alias("slot"), *(e.cast("int").alias(n) for e, n in zip(edges, ("left", "top", "right", "bottom")))))
+        return F.array(*out)
+
+    def step(seen: Column, r: Column) -> Column:
+        def fits(o: Column) -> Column:
+            hit = F.exists(seen["taken"], lambda u: (o["left"] < u["right"]) & (o["right"] > u["left"]) & (o["top"] < u["bottom"]) & (o["bottom"] > u["top"]))
+            return (o["right"] > o["left"]) & (o["bottom"] > o["top"]) & ~hit
+
+        def put(o: Column) -> Column:
+            edges = [o[n].alias(n) for n in ("left", "top", "right", "bottom")]
+            taken = F.when(o.isNotNull(), F.concat(seen["taken"], F.array(F.struct(*edges)))).otherwise(seen["taken"])
+            return F.struct(taken.alias("taken"), F.concat(seen["out"], F.array(F.struct(r["place"].cast("int").alias("place"), o["slot"].alias("slot"), *edges))).alias("out"))
+
+        return let(F.get(F.filter(options(r), fits), 0), put)
+
+    inputs = F.array_sort(F.collect_list(F.struct("place", "label", *(F.col(f"o{c}").alias(c) for c in ("x1", "y1", "x2", "y2")))))
+    start = F.struct(F.array().cast(f"array<{box}>").alias("taken"), F.array().cast(kind).alias("out"))
+    packed = rows.groupBy("frame").agg(F.aggregate(inputs, start, step, lambda s: s["out"]).alias("labels"))
+    return packed.select("frame", F.inline("labels"))
+
+
+#: Fixed values of the evidence format: the blue, green and red of a colour family's boxes.
+BOX_COLORS = {
+    "black": (80, 80, 80),
+    "white": (245, 245, 245),
+    "silver_gray": (180, 180, 180),
+    "red": (40, 40, 230),
+    "orange": (40, 150, 245),
+    "yellow": (40, 225, 245),
+    "green": (70, 200, 70),
+    "blue": (230, 130, 40),
+    "purple": (210, 80, 200),
+}
+
+
+def box_color(name: Column) -> Column:
+    """b, g, r of a box by its colour family, white for all others."""
+    out = F.lit(None)
+    for k, bgr in BOX_COLORS.items():
+        out = F.when(name == k, F.array(*map(F.lit, bgr))).otherwise(out)
+    return F.coalesce(out, F.array(F.lit(255), F.lit(255), F.lit(255)))
+
+
+def track_color(track: Column) -> Column:
+    """b, g, r of a track's boxes and trail, bright and the same in every run."""
+    spread = F.xxhash64(track)
+    return F.array(*(F.pmod(F.shiftright(spread, 8 * k), F.lit(176)).cast("int") + 80 for k in range(3)))
+
+
+def annotation_plan(raw: DataFrame, length: int = 20, every: int = 1) -> DataFrame:
+    """What a tracking video shows: of every frame kept its boxes, labels, track colours and trails."""
+    rows = raw.filter(F.col("frame") % every == 0).withColumns({"trail_x": F.floor("ground_x").cast("int"), "trail_y": F.floor("ground_y").cast("int")})
+    rows = trails(rows if "seq" in rows.columns else rows.withColumn("seq", F.xxhash64(*rows.columns)), length)
+    label = F.concat(F.lit("#"), F.col("track_id").cast("string"), F.lit(" "), F.col("class_name"))
+    return rows.select("frame", "track_id", "seq", "x1", "y1", "x2", "y2", label.alias("label"), track_color(F.col("track_id")).alias("color"), "trail")
 
 
 def top_segment_profiles(objects: DataFrame, kinematics: DataFrame, most: int = 12) -> DataFrame:

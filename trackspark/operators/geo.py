@@ -141,22 +141,28 @@ def project_static(rows: DataFrame, calibration: Calibration) -> DataFrame:
     return rows.withColumns({"x_m": mx, "y_m": my, "inside": inside_polygon(convex_hull(calibration.image_points), x, y)})
 
 
-def telemetry_segments(samples: DataFrame) -> DataFrame:
-    """segment added to samples with a place: it grows whenever the frame counter does not; one file's samples are few."""
-    w = Window.orderBy("place")
+def telemetry_segments(samples: DataFrame, clip: str | None = None) -> DataFrame:
+    """segment added to samples with a place: it grows whenever the frame counter does not.
+
+    clip names the column that tells several clips apart, which are then dealt out by
+    it; without it the samples are those of one file, which are few.
+    """
+    w = Window.partitionBy(*([clip] if clip else [])).orderBy("place")
     reset = F.coalesce((F.col("frame") <= F.lag("frame").over(w)).cast("int"), F.lit(0))
     return samples.withColumn("_reset", reset).withColumn("segment", F.sum("_reset").over(w)).drop("_reset")
 
 
-def dense_telemetry(samples: DataFrame, max_gap: int = 2) -> DataFrame:
+def dense_telemetry(samples: DataFrame, max_gap: int = 2, clip: str | None = None) -> DataFrame:
     """A row for every frame that telemetry covers: samples, and frames between two that are at most max_gap + 1 apart.
 
-    Yaw and roll take the shorter arc, all else a straight line.
+    Yaw and roll take the shorter arc, all else a straight line.  clip is as for
+    telemetry_segments.
     """
     if max_gap < 0:
         raise ValueError("the longest gap must not be negative")
-    w = Window.orderBy("frame")
-    rows = samples.select("frame", *TELEMETRY_FIELDS, F.lead(F.struct("frame", *TELEMETRY_FIELDS)).over(w).alias("_b"))
+    keys = [clip] if clip else []
+    w = Window.partitionBy(*keys).orderBy("frame")
+    rows = samples.select(*keys, "frame", *TELEMETRY_FIELDS, F.lead(F.struct("frame", *TELEMETRY_FIELDS)).over(w).alias("_b"))
     gap = F.col("_b.frame") - F.col("frame") - 1
     last = F.when(gap.between(1, max_gap), F.col("_b.frame") - 1).otherwise(F.col("frame"))
     rows = rows.withColumn("_at", F.explode(F.sequence("frame", last)))
@@ -168,7 +174,7 @@ def dense_telemetry(samples: DataFrame, max_gap: int = 2) -> DataFrame:
         line = arc_between(a, b, share) if c in ("gimbal_yaw_deg", "gimbal_roll_deg") else a + share * (b - a)
         return F.when(between, line).otherwise(a).alias(c)
 
-    return rows.select(F.col("_at").alias("frame"), *(value(c) for c in TELEMETRY_FIELDS), between.alias("interpolated"))
+    return rows.select(*keys, F.col("_at").alias("frame"), *(value(c) for c in TELEMETRY_FIELDS), between.alias("interpolated"))
 
 
 def missing_frames(rows: DataFrame, dense: DataFrame, offset: int = 0) -> DataFrame:
@@ -198,15 +204,21 @@ def ray_to_ground(x: Column, y: Column, width: int, height: int, origin: tuple[f
     return east, north, F.coalesce(good, F.lit(False))
 
 
-def project_telemetry(rows: DataFrame, dense: DataFrame, width: int, height: int, origin: tuple[float, float], offset: int = 0) -> DataFrame:
-    """x_m, y_m and inside (reliability) added by an equi-join on the frame; uncovered frames are dropped, see missing_frames.
+def project_telemetry(rows: DataFrame, dense: DataFrame, width: int, height: int, origin: tuple[float, float], offset: int = 0, uncovered: str = "error") -> DataFrame:
+    """x_m, y_m and inside (reliability) added by an equi-join on the frame.
 
+    Rows of frames that telemetry does not cover stop the run before it begins, unless
+    uncovered is "drop".
     A clip's telemetry is a few rows a second of one clip; Spark chooses how to join it.
     """
     if width <= 0 or height <= 0:
         raise ValueError("frame size must be positive")
     if offset < 0:
         raise ValueError("the frame offset must not be negative")
+    if uncovered not in ("error", "drop"):
+        raise ValueError("uncovered must be error or drop")
+    if uncovered == "error" and (absent := [r["frame"] for r in missing_frames(rows, dense, offset).limit(10).collect()]):
+        raise ValueError(f"telemetry lacks frames {absent}")
     keyed = dense.withColumnRenamed("frame", "_key").drop("interpolated")
     joined = rows.withColumn("_key", F.col("frame") + offset).join(keyed, "_key")
     east, north, good = ray_to_ground(F.col("ground_x_smooth"), F.col("ground_y_smooth"), width, height, origin)

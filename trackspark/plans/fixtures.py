@@ -17,7 +17,7 @@ IMAGE_POINTS = [[0, 0], [640, 0], [640, 480], [0, 480]]
 WORLD_POINTS = [[0, 0], [40, 0], [36, 30], [4, 30]]
 #: A smaller region for the inside test, so that both outcomes occur.
 REGION = [(100.0, 60.0), (520.0, 60.0), (600.0, 440.0), (40.0, 440.0)]
-ORIGIN = (18.0, 73.0)
+ORIGIN = (47.25, 8.5)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,8 @@ def telemetry(spark: SparkSession) -> DataFrame:
     """360 frames with a few single ones missing, a turning camera and some unreliable altitudes."""
     f = F.col("id")
     values = (
-        f * 1e-6 + 18.0,
-        f * 1e-6 + 73.0,
+        f * 1e-6 + 47.25,
+        f * 1e-6 + 8.5,
         F.when(f % 50 == 7, F.lit(3.0)).otherwise((f % 10 + 100).cast("double")),
         ((f * 7) % 360 - 180).cast("double"),
         (-60 - f % 20).cast("double"),

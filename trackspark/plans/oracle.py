@@ -79,7 +79,7 @@ CTES["objects"] = """
            CASE WHEN sum(speed_px_s) > 0 THEN displacement_px / path_length_px ELSE 0 END AS straightness, avg(speed_px_s) AS mean_speed_px_s, quantile_cont(speed_px_s, 0.95) AS p95_speed_px_s, max(speed_px_s) AS max_speed_px_s
     FROM l1_motion JOIN consistency USING (track_id) GROUP BY track_id, segment_id"""
 CTES["cells"] = f"SELECT CAST(least(floor(ground_x_smooth / {fx.WIDTH} * {NX}), {NX - 1}) AS INTEGER) AS bx, CAST(least(floor(ground_y_smooth / {fx.HEIGHT} * {NY}), {NY - 1}) AS INTEGER) AS by_, count(*) AS n FROM l1_clean WHERE ground_x_smooth BETWEEN 0 AND {fx.WIDTH} AND ground_y_smooth BETWEEN 0 AND {fx.HEIGHT} GROUP BY ALL"
-CTES["taps"] = "SELECT * FROM (VALUES " + ", ".join(f"({k - len(density.kernel()) // 2}, {t!r}::DOUBLE)" for k, t in enumerate(density.kernel())) + ") t(k, weight)"
+CTES["taps"] = "SELECT CAST(range AS INTEGER) AS k, exp(-range * range / 8::DOUBLE) / sum(exp(-range * range / 8::DOUBLE)) OVER () AS weight FROM range(-8, 9)"
 CTES["grid"] = f"SELECT a.range AS bx, b.range AS by_ FROM range({NX}) a, range({NY}) b"
 CTES["filled"] = "SELECT g.bx, g.by_, CAST(coalesce(n, 0) AS DOUBLE) AS v FROM grid g LEFT JOIN cells c ON g.bx = c.bx AND g.by_ = c.by_"
 CTES["blur_x"] = f"SELECT g.bx, g.by_, sum(f.v * weight) AS v FROM grid g, taps JOIN filled f ON f.by_ = g.by_ AND f.bx = CASE WHEN abs(g.bx + k) >= {NX} THEN {2 * (NX - 1)} - abs(g.bx + k) ELSE abs(g.bx + k) END GROUP BY ALL"
@@ -113,13 +113,19 @@ def _kinematics(p: str, source: str, x: str, y: str, u: str) -> None:
     CTES[f"{p}_kin"] = f"SELECT * EXCLUDE (i, fx, fy), sqrt(acceleration_x_{u}_s2 * acceleration_x_{u}_s2 + acceleration_y_{u}_s2 * acceleration_y_{u}_s2) AS acceleration_magnitude_{u}_s2 FROM {p}_acc"
 
 
+#: The fixture's projection, solved by hand.
+_MATRIX = ((1 / 16, 1 / 96, 0.0), (0.0, 5 / 64, 0.0), (0.0, 1 / 1920, 1.0))
+#: The fixture's region, its corners in the order of growing angles.
+_REGION = ((40, 440), (100, 60), (520, 60), (600, 440))
+
+
 def _projection(x: str, y: str) -> tuple[str, str]:
-    rows = [" + ".join(f"{float(v)!r}::DOUBLE * {c}" for v, c in zip(r, (x, y, "1"))) for r in fx.matrix()]
+    rows = [" + ".join(f"{float(v)!r}::DOUBLE * {c}" for v, c in zip(r, (x, y, "1"))) for r in _MATRIX]
     return f"({rows[0]}) / ({rows[2]})", f"({rows[1]}) / ({rows[2]})"
 
 
 def _inside(x: str, y: str) -> str:
-    corners = geo.convex_hull(fx.REGION)
+    corners = list(_REGION)
     return "(" + " AND ".join(f"({y} - {ay}) * ({bx - ax}) - ({x} - {ax}) * ({by - ay}) >= 0" for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1])) + ")"
 
 
@@ -148,7 +154,7 @@ _RANK = f"list_position([{', '.join(repr(c) for c in appearance.COLORS)}], color
 CTES["frame_votes"] = f"SELECT track_id, frame, color, n / total AS confidence FROM (SELECT track_id, frame, color, count(*) AS n, sum(count(*)) OVER (PARTITION BY track_id, frame) AS total FROM painted GROUP BY track_id, frame, color) QUALIFY row_number() OVER (PARTITION BY track_id, frame ORDER BY n DESC, {_RANK}) = 1"
 CTES["weights"] = "SELECT track_id, color, sum(greatest(0.05, confidence)) AS weight, min(frame) AS first, count(*) AS n FROM frame_votes GROUP BY ALL"
 CTES["colors"] = "SELECT track_id, color AS dominant_color, round(weight / sum(weight) OVER t, 4) AS color_confidence, CAST(sum(n) OVER t AS BIGINT) AS color_samples FROM weights WINDOW t AS (PARTITION BY track_id) QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY weight DESC, first) = 1"
-_T = {"latitude": "18 + range * 1e-6", "longitude": "73 + range * 1e-6", "relative_altitude_m": "CASE WHEN range % 50 = 7 THEN 3 ELSE 100 + range % 10 END", "gimbal_yaw_deg": "(range * 7) % 360 - 180", "gimbal_pitch_deg": "-60 - range % 20", "gimbal_roll_deg": "range % 5 - 2", "focal_length_35mm": "24"}
+_T = {"latitude": "47.25 + range * 1e-6", "longitude": "8.5 + range * 1e-6", "relative_altitude_m": "CASE WHEN range % 50 = 7 THEN 3 ELSE 100 + range % 10 END", "gimbal_yaw_deg": "(range * 7) % 360 - 180", "gimbal_pitch_deg": "-60 - range % 20", "gimbal_roll_deg": "range % 5 - 2", "focal_length_35mm": "24"}
 CTES["telemetry"] = "SELECT range AS frame, " + ", ".join(f"CAST({_T[c]} AS DOUBLE) AS {c}" for c in TELEMETRY_FIELDS) + " FROM range(360) WHERE range % 97 <> 50"
 
 
@@ -196,6 +202,7 @@ CTES["first_rows"] = "SELECT * FROM insights QUALIFY row_number() OVER (PARTITIO
 CTES["longest"] = "SELECT * FROM objects QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY round(duration_s, 9) DESC, segment_id) = 1"
 CTES["scored"] = "SELECT raw.*, confidence * sqrt(greatest(greatest(x2 - x1, 0) * greatest(y2 - y1, 0), 1)) AS display_score FROM raw SEMI JOIN (SELECT * FROM longest WHERE duration_s >= 2 AND displacement_px >= 12) USING (track_id) WHERE confidence >= 0.2"
 CTES["shown"] = "SELECT *, CAST(row_number() OVER (PARTITION BY frame ORDER BY display_score DESC, seq) AS INTEGER) AS place, CAST(trunc(x1 * 0.5) AS INTEGER) AS ox1, CAST(trunc(y1 * 0.5) AS INTEGER) AS oy1, CAST(trunc(x2 * 0.5) AS INTEGER) AS ox2, CAST(trunc(y2 * 0.5) AS INTEGER) AS oy2 FROM scored QUALIFY place <= 12"
+CTES["longest_i"] = "SELECT * FROM insights QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY round(duration_s, 9) DESC, segment_id) = 1"
 CTES["longest_m"] = "SELECT * FROM insights_m QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY round(duration_s, 9) DESC, segment_id) = 1"
 CTES["top12"] = "SELECT track_id, segment_id FROM objects ORDER BY round(duration_s, 9) DESC, track_id, segment_id LIMIT 12"
 
@@ -228,7 +235,62 @@ def _short(column: str, names: dict[str, str]) -> str:
     return f"CASE coalesce({column}, 'unknown') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE coalesce({column}, 'unknown') END"
 
 
+def _packing_sql(width: int, height: int) -> str:
+    """Labels of a frame one after the other: of three places the first that is free, 7 pixels a character, text 9 high, baseline 4."""
+    label = f"'#' || s.track_id || ' ' || {_short('l.dominant_color', evidence.COLOR_SHORT)} || ' ' || {_short('l.relative_size_class', evidence.SIZE_SHORT)}"
+    CTES["labelled"] = f"SELECT s.frame, s.place, 7 * length({label}) AS wide, s.ox1, s.oy1, s.ox2, s.oy2 FROM shown s JOIN longest_i l USING (track_id)"
+    CTES["ordered"] = "SELECT *, row_number() OVER (PARTITION BY frame ORDER BY place) AS turn FROM labelled"
+    places = (("0", "ox1", "oy1 - 20"), ("1", "ox1", "oy2 + 20"), ("2", "ox2 + 3", "oy1 + 12"))
+    options = ", ".join(f"{{'slot': {k}, 'l': greatest(0, {x} - 2), 't': greatest(0, {y} - 12), 'r': least({width - 1}, {x} + wide + 3), 'b': least({height - 1}, {y} + 6)}}" for k, x, y in places)
+    CTES["offers"] = f"SELECT frame, turn, place, list_filter([{options}], lambda o: o.r > o.l AND o.b > o.t) AS offers FROM ordered"
+    needed = _needed("SELECT * FROM offers")
+    fits = "list_filter(o.offers, lambda x: len(list_filter(p.taken, lambda u: x.l < u.r AND x.r > u.l AND x.t < u.b AND x.b > u.t)) = 0)[1]"
+    return (
+        "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in needed) + f""",
+        packed AS (
+            SELECT frame, CAST(0 AS BIGINT) AS turn, CAST(NULL AS INTEGER) AS place, CAST(NULL AS STRUCT(slot INTEGER, l INTEGER, t INTEGER, r INTEGER, b INTEGER)) AS best, CAST([] AS STRUCT(slot INTEGER, l INTEGER, t INTEGER, r INTEGER, b INTEGER)[]) AS taken FROM (SELECT DISTINCT frame FROM offers)
+            UNION ALL
+            SELECT frame, turn, place, best, CASE WHEN best IS NULL THEN taken ELSE list_append(taken, best) END
+            FROM (SELECT o.frame, o.turn, o.place, CAST({fits} AS STRUCT(slot INTEGER, l INTEGER, t INTEGER, r INTEGER, b INTEGER)) AS best, p.taken FROM packed p JOIN offers o ON o.frame = p.frame AND o.turn = p.turn + 1))
+        SELECT frame, place, best.slot AS slot, best.l AS "left", best.t AS top, best.r AS "right", best.b AS bottom FROM packed WHERE turn > 0"""
+    )
+
+
+def _suppression_sql(least: float) -> str:
+    """Boxes of a frame and class by falling confidence: each goes if it overlaps one that was kept by more than least."""
+    box = "STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)"
+    shared = "greatest(0, least(k.x2, o.x2) - greatest(k.x1, o.x1)) * greatest(0, least(k.y2, o.y2) - greatest(k.y1, o.y1))"
+    area = "greatest(0, {0}.x2 - {0}.x1) * greatest(0, {0}.y2 - {0}.y1)"
+    CTES["turns"] = "SELECT frame, class_id, seq, x1, y1, x2, y2, row_number() OVER (PARTITION BY frame, class_id ORDER BY confidence DESC, seq) AS turn FROM raw"
+    hit = f"len(list_filter(p.kept, lambda k: {shared} > {least} * ({area.format('k')} + {area.format('o')} - {shared}))) > 0"
+    return (
+        "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in _needed("SELECT * FROM turns")) + f""",
+        w AS (
+            SELECT frame, class_id, CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS seq, FALSE AS hit, CAST([] AS {box}[]) AS kept FROM (SELECT DISTINCT frame, class_id FROM turns)
+            UNION ALL
+            SELECT frame, class_id, turn, seq, hit, CASE WHEN hit THEN kept ELSE list_append(kept, own) END
+            FROM (SELECT o.frame, o.class_id, o.turn, o.seq, {hit} AS hit, p.kept, CAST({{'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}} AS {box}) AS own FROM w p JOIN turns o ON o.frame = p.frame AND o.class_id = p.class_id AND o.turn = p.turn + 1))
+        SELECT frame, class_id, seq FROM w WHERE turn > 0 AND NOT hit"""
+    )
+
+
+_CORNERS = f"""SELECT seq, greatest(0, least(CAST(round_even(x1, 0) AS INTEGER), {fx.WIDTH - 1})) AS a, greatest(0, least(CAST(round_even(y1, 0) AS INTEGER), {fx.HEIGHT - 1})) AS b,
+    least(greatest(CAST(round_even(x2, 0) AS INTEGER), a + 1), {fx.WIDTH}) AS c, least(greatest(CAST(round_even(y2, 0) AS INTEGER), b + 1), {fx.HEIGHT}) AS d,
+    greatest(1, CAST(round_even((c - a) * 0.22::DOUBLE, 0) AS INTEGER)) AS dx, greatest(1, CAST(round_even((d - b) * 0.22::DOUBLE, 0) AS INTEGER)) AS dy FROM raw"""
+CTES["corners"] = _CORNERS
+CTES["crops"] = "SELECT seq, a + dx AS x1, b + dy AS y1, c - dx AS x2, d - dy AS y2 FROM corners WHERE c - a >= 4 AND d - b >= 4 AND c - a > dx * 2 AND d - b > dy * 2"
+CTES["crop_sizes"] = "SELECT DISTINCT x2 - x1 AS w, y2 - y1 AS h FROM crops"
+CTES["crop_cells"] = "SELECT w, h, x, unnest(range(h)) AS y FROM (SELECT w, h, unnest(range(w)) AS x FROM crop_sizes)"
+
 ORACLE_SQL: dict[str, str] = {
+    "stable_tracks": _plain("SELECT track_id, segment_id FROM longest_i WHERE round(duration_s, 9) >= 2 AND raw_class_consistency >= 0.3 AND color_confidence >= 0.3 AND displacement_px >= 12"),
+    "label_packing": _packing_sql(fx.WIDTH // 2, fx.HEIGHT // 2),
+    "suppressed_boxes": _suppression_sql(0.2),
+    "crop_windows": _plain("SELECT seq, x1, y1, x2, y2 FROM crops"),
+    "ellipse_pixels": _plain("SELECT CAST(w AS INTEGER) AS w, CAST(h AS INTEGER) AS h, count(*) AS pixels FROM crop_cells WHERE pow((x - w // 2) / greatest(1, w // 2 - 1), 2) + pow((y - h // 2) / greatest(1, h // 2 - 1), 2) <= 1 GROUP BY ALL"),
+    "missing_frames_offset": _plain("SELECT DISTINCT frame + 30 AS frame FROM l2_clean WHERE frame + 30 NOT IN (SELECT frame FROM telemetry_own) ORDER BY 1 LIMIT 10"),
+    "annotation_plan": _plain("SELECT frame, track_id, seq, '#' || track_id || ' ' || class_name AS label, CAST(count(*) OVER w AS INTEGER) AS points, CAST(sum(floor(ground_x) + floor(ground_y)) OVER w AS BIGINT) AS sum_xy FROM raw WHERE frame % 2 = 0 WINDOW w AS (PARTITION BY track_id ORDER BY frame, seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"),
+    "box_colours": _plain("SELECT track_id, c[1] AS b, c[2] AS g, c[3] AS r FROM (SELECT track_id, CASE dominant_color WHEN 'black' THEN [80, 80, 80] WHEN 'white' THEN [245, 245, 245] WHEN 'silver_gray' THEN [180, 180, 180] WHEN 'red' THEN [40, 40, 230] WHEN 'orange' THEN [40, 150, 245] WHEN 'yellow' THEN [40, 225, 245] WHEN 'green' THEN [70, 200, 70] WHEN 'blue' THEN [230, 130, 40] WHEN 'purple' THEN [210, 80, 200] ELSE [255, 255, 255] END AS c FROM (SELECT DISTINCT track_id FROM raw) LEFT JOIN colors USING (track_id))"),
     "raw_tracks_projection": _sql("raw", "seq frame track_id class_id class_name", "timestamp_s confidence x1 y1 x2 y2 center_x center_y ground_x ground_y"),
     "stride_time_class_filter": _sql("raw", "seq frame track_id class_id", "confidence", tail="WHERE frame % 2 = 0 AND frame < 300 AND class_id IN (2, 3, 5, 7) AND confidence >= 0.05"),
     "dedupe_keep_last": _sql("latest", "track_id frame seq"),
@@ -255,7 +317,7 @@ ORACLE_SQL: dict[str, str] = {
     "hsv_family": _plain("SELECT h, s, v, color, count(*) AS n FROM painted GROUP BY ALL"),
     "pixel_vote": _sql("frame_votes", "track_id frame color", "confidence"),
     "track_colour_vote": _sql("colors", "track_id dominant_color color_samples", "color_confidence", 4),
-    "homography_project": _plain(f"SELECT track_id, segment_id, frame, round({_projection('ground_x_smooth', 'ground_y_smooth')[0]}, 6) + 0 AS x_m, round({_projection('ground_x_smooth', 'ground_y_smooth')[1]}, 6) + 0 AS y_m FROM l1_clean"),
+    "homography_project": _plain(f"SELECT track_id, segment_id, frame, round({_projection('ground_x_smooth', 'ground_y_smooth')[0]} + 1e-9, 6) + 0 AS x_m, round({_projection('ground_x_smooth', 'ground_y_smooth')[1]} + 1e-9, 6) + 0 AS y_m FROM l1_clean"),
     "inside_hull": _plain(f"SELECT track_id, segment_id, frame, {_inside('ground_x_smooth', 'ground_y_smooth')} AS inside FROM l1_clean"),
     "telemetry_segments": _plain("SELECT place, frame, CAST(sum(reset) OVER (ORDER BY place) AS BIGINT) AS segment FROM (SELECT frame AS place, frame % 100 AS frame, CASE WHEN frame % 100 <= lag(frame % 100) OVER (ORDER BY frame) THEN 1 ELSE 0 END AS reset FROM telemetry)"),
     "srt_parse": _plain("SELECT row_number() OVER (ORDER BY t.frame) - 1 AS place, t.frame % 40 AS frame, CAST(t.frame // 40 AS BIGINT) AS segment, " + ", ".join(f"round({c}, 6) + 0 AS {c}" for c in TELEMETRY_FIELDS) + " FROM telemetry t WHERE t.frame < 80"),

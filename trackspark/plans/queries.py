@@ -156,7 +156,8 @@ def track_colour_vote(s, d):
 
 def homography_project(s, d):
     x, y = geo.apply_homography(fx.matrix(), F.col("ground_x_smooth"), F.col("ground_y_smooth"))
-    return rounded(_level1(s, d).select("track_id", "segment_id", "frame", x.alias("x_m"), y.alias("y_m")))
+    # a hair is added, since exact projections of three decimals end in ties
+    return rounded(_level1(s, d).select("track_id", "segment_id", "frame", (x + 1e-9).alias("x_m"), (y + 1e-9).alias("y_m")))
 
 
 def inside_hull(s, d):
@@ -178,7 +179,7 @@ def telemetry_dense(s, d):
 
 
 def _projected(s, d):
-    return geo.project_telemetry(_level2(s, d), geo.dense_telemetry(fx.telemetry(s)), fx.WIDTH, fx.HEIGHT, fx.ORIGIN)
+    return geo.project_telemetry(_level2(s, d), geo.dense_telemetry(fx.telemetry(s)), fx.WIDTH, fx.HEIGHT, fx.ORIGIN, uncovered="drop")
 
 
 def telemetry_project(s, d):
@@ -261,8 +262,49 @@ def label_packing(s, d):
     return evidence.pack_labels(rows, fx.WIDTH // 2, fx.HEIGHT // 2)
 
 
+def stable_tracks(s, d):
+    return evidence.stable_tracks(_insights(s, d, False), consistency=0.3, color=0.3).select("track_id", "segment_id")
+
+
+def suppressed_boxes(s, d):
+    return tables.suppress_overlaps(fx.raw_tracks(s, d), 0.2).select("frame", "class_id", "seq")
+
+
+def _crops(s, d):
+    window = appearance.crop_window(*(F.col(c) for c in ("x1", "y1", "x2", "y2")), fx.WIDTH, fx.HEIGHT)
+    return fx.raw_tracks(s, d).select("seq", window.alias("c")).filter("c IS NOT NULL").select("seq", "c.*")
+
+
+def crop_windows(s, d):
+    return _crops(s, d)
+
+
+def ellipse_pixels(s, d):
+    sizes = _crops(s, d).select((F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h")).distinct()
+    cells = sizes.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
+    return cells.filter(appearance.in_ellipse(*map(F.col, "xywh"))).groupBy("w", "h").agg(F.count(F.lit(1)).alias("pixels"))
+
+
+def missing_frames_offset(s, d):
+    return geo.missing_frames(_level2(s, d), geo.dense_telemetry(fx.telemetry(s), 0), 30).limit(10)
+
+
+def annotation_plan(s, d):
+    rows = evidence.annotation_plan(fx.raw_tracks(s, d), 20, 2)
+    return rows.select("frame", "track_id", "seq", "label", F.size("trail").alias("points"), F.aggregate("trail", F.lit(0).cast("long"), lambda a, p: a + p["trail_x"] + p["trail_y"]).alias("sum_xy"))
+
+
+def box_colours(s, d):
+    color = evidence.box_color(F.col("dominant_color"))
+    return _colors(s, d).select("track_id", *(color[k].alias(c) for k, c in enumerate("bgr")))
+
+
 def _stream_dir(s: SparkSession) -> str:
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    base = s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not s.sparkContext.master.startswith("local[") and s.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{base.rstrip('/')}/trackspark-{uuid.uuid4().hex}"
 
 
@@ -286,6 +328,6 @@ _ALL = (
     raw_tracks_projection, stride_time_class_filter, dedupe_keep_last, track_mode_class, class_consistency, gap_segments, dense_interpolated, rolling_median_smooth, pixel_motion, object_metrics, timeseries_counts,
     tracking_quality, tracks_by_class, density_histogram, density_blur, savgol_smooth, gradient_velocity, heading_px, class_statistics, relative_size, colour_samples, hsv_family, pixel_vote, track_colour_vote,
     homography_project, inside_hull, telemetry_segments, srt_parse, telemetry_dense, telemetry_project, telemetry_report, missing_frames, metric_kinematics, object_insights, object_insights_metric,
-    level2_distributions, metric_summary, longest_segment, top_segments_profile, evidence_topk, evidence_trails, label_text, label_overlap_pairs, label_packing, session_segments_stream, tumbling_counts_stream,
+    level2_distributions, metric_summary, longest_segment, top_segments_profile, evidence_topk, evidence_trails, label_text, label_overlap_pairs, label_packing, session_segments_stream, tumbling_counts_stream, stable_tracks, suppressed_boxes, crop_windows, ellipse_pixels, missing_frames_offset, annotation_plan, box_colours,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import no_nan
+from ..functions.columns import no_nan, round_exact
 from ..operators.geo import Calibration, calibrate, telemetry_segments
 from ..schema import LEVEL2_NEEDS, RAW_TRACKS, TELEMETRY_FIELDS, require_columns
 
@@ -40,6 +40,16 @@ def read_tracks(spark: SparkSession, path: str, level2: bool = False) -> DataFra
     return df
 
 
+def read_insights(spark: SparkSession, path: str) -> DataFrame:
+    """An output table in CSV with a header, with the types that its values show."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """A summary, report or run description in JSON as one row."""
+    return spark.read.option("multiLine", True).json(path)
+
+
 def telemetry_from_text(texts: DataFrame, text: str = "value") -> DataFrame:
     """place, frame, telemetry fields (null where missing) and segment of each block that has a frame counter."""
     blocks = texts.select(F.posexplode(F.split(F.regexp_replace(F.col(text), "^﻿", ""), BLOCKS)).alias("place", "block"))
@@ -54,10 +64,13 @@ def telemetry_from_text(texts: DataFrame, text: str = "value") -> DataFrame:
 def read_telemetry(spark: SparkSession, path: str, segment: int | None = None) -> DataFrame:
     """The samples of one segment of a telemetry text file.
 
-    Errors: no samples; a field that is missing in a block; several segments of which
+    Errors: bytes that are not UTF-8; no samples; a field that is missing in a block; several segments of which
     none was chosen; a segment that does not exist.
     """
-    rows = telemetry_from_text(spark.read.text(path, wholetext=True))
+    texts = spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("value"))
+    if not texts.filter(~F.is_valid_utf8("value")).isEmpty():
+        raise ValueError(f"{path} is not UTF-8")
+    rows = telemetry_from_text(texts.select("value"))
     lacking = [F.count_if(F.col(c).isNull()).alias(c) for c in TELEMETRY_FIELDS]
     state = rows.agg(F.count(F.lit(1)).alias("n"), F.max("segment").alias("last"), *lacking).first()
     if not state["n"]:
@@ -81,22 +94,51 @@ def read_calibration(path: str) -> Calibration:
     return calibrate(got.get("image_points_px"), got.get("world_points_m"), got.get("reference", ""), got.get("quality", ""), float(got.get("max_reprojection_error_m", 0.75)))
 
 
+def parse_ids(text: str) -> tuple[int, ...]:
+    """Numbers of a comma-separated list; blanks and empty parts are skipped."""
+    return tuple(int(part) for part in text.split(",") if part.strip())
+
+
+def suppress_overlaps(detections: DataFrame, least_iou: float = 0.7) -> DataFrame:
+    """Detections without those that a more confident one of their frame and class overlaps by more than least_iou.
+
+    Greedy, as detectors do it: only rows that are kept suppress others; ties go to the
+    smaller seq.  A frame holds a bounded number of boxes, which are folded in the JVM.
+    """
+    if not 0 <= least_iou <= 1:
+        raise ValueError("least_iou must be from 0 to 1")
+    corners = ("x1", "y1", "x2", "y2")
+
+    def area(b: Column) -> Column:
+        return F.greatest(F.lit(0.0), b["x2"] - b["x1"]) * F.greatest(F.lit(0.0), b["y2"] - b["y1"])
+
+    def over(a: Column, b: Column) -> Column:
+        wide = F.greatest(F.lit(0.0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]))
+        high = F.greatest(F.lit(0.0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]))
+        return wide * high > least_iou * (area(a) + area(b) - wide * high)
+
+    boxes = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("less"), "seq", *corners)))
+    kept = F.aggregate(boxes, F.array().cast("array<struct<less:double,seq:bigint,x1:double,y1:double,x2:double,y2:double>>"), lambda seen, b: F.when(F.exists(seen, lambda k: over(k, b)), seen).otherwise(F.concat(seen, F.array(b))))
+    chosen = detections.groupBy("frame", "class_id").agg(kept.alias("_kept")).select("frame", "class_id", F.explode("_kept.seq").alias("seq"))
+    return detections.join(chosen, ["frame", "class_id", "seq"], "left_semi")
+
+
 def detections_to_tracks(detections: DataFrame, fps: float) -> DataFrame:
     """Raw track rows of detector output (frame, track_id, class_id, class_name, confidence, box); boxes without a track go."""
-    r3 = {c: F.round(c, 3) for c in ("x1", "y1", "x2", "y2")}
-    middle, bottom = F.round((F.col("x1") + F.col("x2")) / 2, 3), F.round("y2", 3)
+    r3 = {c: round_exact(F.col(c), 3) for c in ("x1", "y1", "x2", "y2")}
+    middle, bottom = round_exact((F.col("x1") + F.col("x2")) / 2, 3), round_exact(F.col("y2"), 3)
     extra = [c for c in ("seq",) if c in detections.columns]
     return detections.filter("track_id IS NOT NULL").select(
         *extra,
         F.col("frame").cast("long").alias("frame"),
-        F.round(F.col("frame") / float(fps), 6).alias("timestamp_s"),
+        round_exact(F.col("frame") / float(fps), 6).alias("timestamp_s"),
         F.col("track_id").cast("long").alias("track_id"),
         F.col("class_id").cast("int").alias("class_id"),
         "class_name",
-        F.round("confidence", 6).alias("confidence"),
+        round_exact(F.col("confidence"), 6).alias("confidence"),
         *(v.alias(c) for c, v in r3.items()),
         middle.alias("center_x"),
-        F.round((F.col("y1") + F.col("y2")) / 2, 3).alias("center_y"),
+        round_exact((F.col("y1") + F.col("y2")) / 2, 3).alias("center_y"),
         middle.alias("ground_x"),
         bottom.alias("ground_y"),
     )
@@ -108,14 +150,3 @@ def keep_detections(detections: DataFrame, fps: float, stride: int = 1, max_seco
         raise ValueError("stride must be at least 1")
     rows = detections.filter(F.col("frame") % stride == 0).filter(F.col("class_id").isin(*classes) & (F.col("confidence") >= confidence))
     return rows if max_seconds is None else rows.filter(F.col("frame") < int(max_seconds * fps))
-
-
-def write_csv(df: DataFrame, path: str, parquet: str | None = None) -> None:
-    """CSV with a header, and a Parquet twin if asked for."""
-    df.write.mode("overwrite").option("header", True).csv(path)
-    if parquet:
-        df.write.mode("overwrite").parquet(parquet)
-
-
-def write_json_report(report: dict[str, object], path: str) -> None:
-    Path(path).write_text(json.dumps(report, indent=2), encoding="utf-8")

@@ -1,12 +1,22 @@
-"""Boundaries to video decoding, detection and drawing; adapters implement them outside the query core."""
+"""Video: an uncompressed reader of frames, pixels of boxes, and boundaries to detection and drawing."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..operators.appearance import crop_window
+
+#: Frames of one task.
+FRAMES_PER_TASK = 64
+FRAME_SCHEMA = "clip string, frame long, height int, width int, bgr binary"
 
 
 @dataclass(frozen=True)
@@ -22,14 +32,163 @@ class VideoProperties:
         if min(self.width, self.height, self.frames) <= 0:
             raise ValueError("video size and length must be positive")
 
+    def frames_within(self, seconds: float | None) -> int:
+        """How many frames a run of so many seconds reads."""
+        return self.frames if seconds is None else min(self.frames, int(seconds * self.fps))
+
+
+class _Raw:
+    """A YUV4MPEG2 file (.y4m) with 4:2:0 colour: a header line, then frames of one size, so any frame is found by its number."""
+
+    def __init__(self, path: str, default_fps: float | None = None):
+        from pyarrow import fs
+
+        self.files, self.path = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        size = self.files.get_file_info(self.path).size
+        if size is None:
+            raise FileNotFoundError(path)
+        with self.files.open_input_file(self.path) as file:
+            head = file.read(256).split(b"\n", 1)[0]
+        marks = {m[:1]: m[1:] for m in head.split(b" ")[1:]}
+        if not head.startswith(b"YUV4MPEG2") or not marks.get(b"C", b"420").startswith(b"420"):
+            raise ValueError(f"{path} is not a YUV4MPEG2 video with 4:2:0 colour")
+        self.width, self.height = int(marks[b"W"]), int(marks[b"H"])
+        over, under = (int(x) for x in marks.get(b"F", b"0:0").split(b":"))
+        fps = over / under if over and under else default_fps or 0.0
+        self.luma, half = self.width * self.height, ((self.width + 1) // 2) * ((self.height + 1) // 2)
+        self.begin, self.each = len(head) + 1, 6 + self.luma + 2 * half
+        self.properties = VideoProperties(fps, self.width, self.height, (size - self.begin) // self.each)
+
+    def read(self, start: int, end: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Numbers and blue, green, red bytes of frames start to end."""
+        w, h = (self.width + 1) // 2, (self.height + 1) // 2
+        with self.files.open_input_file(self.path) as file:
+            file.seek(self.begin + start * self.each)
+            for n in range(start, end):
+                data = file.read(self.each)
+                if data[:6] != b"FRAME\n":
+                    raise ValueError(f"{self.path}: frame {n} has parameters or is broken")
+                flat = np.frombuffer(data, np.uint8)[6:].astype(np.float64)
+                y = flat[: self.luma].reshape(self.height, self.width)
+                u, v = (p.reshape(h, w).repeat(2, 0).repeat(2, 1)[: self.height, : self.width] - 128 for p in (flat[self.luma : self.luma + w * h], flat[self.luma + w * h :]))
+                y = (y - 16) * 1.164383
+                bgr = np.stack([y + 2.017232 * u, y - 0.391762 * u - 0.812968 * v, y + 1.596027 * v], axis=-1)
+                yield n, np.clip(np.rint(bgr), 0, 255).astype(np.uint8)
+
+
+def probe(path: str, default_fps: float | None = None) -> VideoProperties:
+    """Size, length and frame rate of a video; default_fps where its header has none."""
+    return _Raw(path, default_fps).properties
+
+
+@dataclass
+class _Part(InputPartition):
+    start: int
+    end: int
+
+
+class _FrameReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.path, self.first = options["path"], int(options.get("first", "0"))
+        self.last = int(options["last"]) if "last" in options else None
+
+    def partitions(self) -> list[InputPartition]:
+        frames = _Raw(self.path, 1.0).properties.frames
+        end = frames if self.last is None else min(frames, self.last + 1)
+        return [_Part(k, min(k + FRAMES_PER_TASK, end)) for k in range(self.first, end, FRAMES_PER_TASK)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        raw = _Raw(self.path, 1.0)
+        for n, bgr in raw.read(partition.start, partition.end):  # type: ignore[attr-defined]
+            yield self.path, n, raw.height, raw.width, bgr.tobytes()
+
+
+class Frames(DataSource):
+    """``frames``: the frames of a raw video; options path, first and last (frame numbers)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "frames"
+
+    def schema(self) -> str:
+        return FRAME_SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return _FrameReader(dict(self.options))
+
+
+def read_frames(spark: SparkSession, path: str, first: int = 0, last: int | None = None) -> DataFrame:
+    """clip, frame, height, width, bgr of the frames from first to last, read by tasks of a few each; one frame is a seek."""
+    if first < 0:
+        raise ValueError("frame numbers start at 0")
+    spark.dataSource.register(Frames)
+    reader = spark.read.format("frames").option("first", first)
+    return (reader if last is None else reader.option("last", last)).load(path)
+
+
+def crop_pixels(detections: DataFrame, frames: DataFrame, inset: float = 0.22) -> DataFrame:
+    """track_id, frame, confidence, b, g, r of the pixels in the inner ellipse of each box, by a join on the frame number.
+
+    Boxes that are too small to read, and those of frames that are absent, have no pixels.
+    """
+    joined = detections.select("track_id", "frame", "confidence", "x1", "y1", "x2", "y2").join(frames.select("frame", "height", "width", "bgr"), "frame")
+    window = crop_window(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("width"), F.col("height"), inset)
+    boxes = joined.withColumn("c", window).filter("c IS NOT NULL").select("track_id", "frame", "confidence", "height", "width", "bgr", *(F.col(f"c.{k}").alias(k) for k in ("x1", "y1", "x2", "y2")))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                crop = np.frombuffer(r.bgr, np.uint8).reshape(r.height, r.width, 3)[r.y1 : r.y2, r.x1 : r.x2]
+                h, w = crop.shape[:2]
+                y, x = np.mgrid[:h, :w]
+                a, b = max(1, w // 2 - 1), max(1, h // 2 - 1)
+                inside = crop[((x - w // 2) / a) ** 2 + ((y - h // 2) / b) ** 2 <= 1].astype(int)
+                yield pd.DataFrame({"track_id": r.track_id, "frame": r.frame, "confidence": r.confidence, "b": inside[:, 0], "g": inside[:, 1], "r": inside[:, 2]})
+
+    return boxes.mapInPandas(cut, "track_id long, frame long, confidence double, b int, g int, r int")
+
 
 class Detector(Protocol):
-    """Turns one clip's frames, in order, into detection rows with track ids; keeps its state between frames."""
+    """Turns the frames of one clip, in order, into detections with track ids; keeps its state between frames."""
 
-    def track(self, clip: str, every: int, confidence: float, classes: tuple[int, ...]) -> Iterator[pd.DataFrame]: ...
+    def detect(self, frame: int, bgr: np.ndarray) -> list[tuple[int | None, int, str, float, float, float, float, float]]:
+        """Track id (or none), class id, class name, confidence, x1, y1, x2, y2 of what is in a frame."""
+        ...
+
+
+DETECTIONS = "clip string, frame long, track_id long, class_id int, class_name string, confidence double, x1 double, y1 double, x2 double, y2 double"
+
+
+def detect(frames: DataFrame, make: Callable[[dict], Detector], settings: dict | None = None, every: int = 1) -> DataFrame:
+    """Detections of each clip by a detector of its own, made on the executor from settings, which are passed on as they are.
+
+    Clips are dealt to tasks and their frames streamed in order, so that state goes on
+    from frame to frame and no clip is held in memory.
+    """
+    if every < 1:
+        raise ValueError("every must be at least 1")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        clip, detector = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.itertuples(index=False):
+                if detector is None or r.clip != clip:
+                    clip, detector = r.clip, make(settings or {})
+                found = detector.detect(r.frame, np.frombuffer(r.bgr, np.uint8).reshape(r.height, r.width, 3))
+                out += [(clip, r.frame, *d) for d in found]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in DETECTIONS.split(", ")]).astype({"track_id": "Int64"})
+
+    kept = frames.filter(F.col("frame") % every == 0)
+    return kept.repartition("clip").sortWithinPartitions("clip", "frame").mapInPandas(run, DETECTIONS)
 
 
 class Drawer(Protocol):
-    """Draws a plan (boxes, trails, labels by frame) on a clip."""
+    """Draws a plan (boxes, trails, labels by frame) on a clip; a video has at least one frame a second."""
+
+    def draw(self, clip: str, plan: pd.DataFrame, to: str, fps: float) -> None: ...
+
 
-    def draw(self, clip: str, plan: pd.DataFrame, to: str) -> None: ...
+def output_fps(fps: float, every: int) -> float:
+    """Frame rate of a video that shows every so many frames of another."""
+    return max(1.0, fps / every)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from ..schema import positive_fps
 
@@ -44,3 +48,32 @@ def run_to_table(result: DataFrame, path: str, mode: str = "complete") -> DataFr
     query = result.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return result.sparkSession.read.schema(result.schema).parquet(f"{path}/table")
+
+
+def append_rows(rows: DataFrame, path: str, state: str, form: str = "csv"):
+    """A query that appends raw rows to a folder as they come, each once, also after a restart; CSV parts have a header."""
+    writer = rows.writeStream.outputMode("append").format(form).option("path", path).option("checkpointLocation", state)
+    return writer.option("header", True).trigger(availableNow=True).start()
+
+
+TRAIL = "frame long, track_id long, trail array<struct<x:int,y:int>>"
+
+
+def bounded_trails(rows: DataFrame, length: int) -> DataFrame:
+    """The last length points of each track at each row (frame, track_id, trail_x, trail_y), on a stream of rows in order.
+
+    The state of a track is those points and nothing else, so it never grows.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        points: list[tuple[int, int]] = list(zip(*state.get)) if state.exists else []
+        for batch in batches:
+            out = []
+            for r in batch.sort_values("frame", kind="stable").itertuples(index=False):
+                points = [*points, (int(r.trail_x), int(r.trail_y))][-length:]
+                out.append((r.frame, key[0], [{"x": x, "y": y} for x, y in points]))
+            yield pd.DataFrame(out, columns=["frame", "track_id", "trail"])
+        xs, ys = zip(*points)
+        state.update((list(xs), list(ys)))
+
+    return rows.groupBy("track_id").applyInPandasWithState(step, TRAIL, "xs array<int>, ys array<int>", "append", "NoTimeout")
