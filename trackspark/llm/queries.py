@@ -40,7 +40,8 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_dir(spark)}/archive"
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
-    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back = warc.record_bytes(warc.read_archive(spark, path))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.sha2("record", 256).alias("record_sha256"))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,12 +164,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
     """,
-    "op5_warc": """
-        WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
-             f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+    "op5_warc": f"""
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+             f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p),
+             r AS (SELECT *, payload_bytes >= 100 AND page_id <> first_id AS again, replace(replace(replace(url, chr(13), '%0D'), chr(10), '%0A'), chr(0), '%00') AS target FROM f)
         SELECT page_id, payload_bytes, payload_digest,
-               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
-        FROM f
+               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again THEN first_id END AS refers_to,
+               sha256(replace('WARC/1.1|WARC-Type: ' || CASE WHEN again THEN 'revisit' ELSE 'response' END || '|WARC-Record-ID: <urn:record:' || page_id || '>|WARC-Date: {warc.DATE}|', '|', chr(13) || chr(10))
+                   || coalesce('WARC-Target-URI: ' || target || chr(13) || chr(10), '') || 'WARC-Payload-Digest: sha256:' || payload_digest || chr(13) || chr(10)
+                   || CASE WHEN again THEN 'WARC-Refers-To: <urn:record:' || first_id || '>' || chr(13) || chr(10) || 'WARC-Profile: {warc.REVISIT_PROFILE}' || chr(13) || chr(10) ELSE '' END
+                   || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || CASE WHEN again THEN 0 ELSE payload_bytes END || chr(13) || chr(10) || chr(13) || chr(10)
+                   || CASE WHEN again THEN '' ELSE html END || chr(13) || chr(10) || chr(13) || chr(10)) AS record_sha256
+        FROM r
     """,
 }

@@ -36,7 +36,7 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("target"), F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
-    # only digests and ids are shuffled; payload bytes stay where they are
+    # only digests and ids are shuffled to plan; payload bytes move if the marks are too many to be broadcast
     keys = rows.filter(F.col("size") >= least).select("page_id", "digest")
     first = keys.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
     first = materialize(first, "first")
@@ -78,7 +78,9 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Rebuild every record of an archive: parsed header fields, the header's and the full payload's bytes.
 
     Each stored payload's digest is computed anew; a payload that is missing or
-    that does not match its address stops the read with an error.
+    that does not match its address stops the read with an error.  The join is of two
+    plain exchanges, so AQE splits the headers of a digest that many pages share;
+    readers that leave out the payload shuffle none.
     """
     headers = spark.read.schema("digest string, header binary").parquet(f"{path}/headers")
     payloads = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
