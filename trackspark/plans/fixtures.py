@@ -64,13 +64,20 @@ def telemetry(spark: SparkSession) -> DataFrame:
     return spark.range(360).filter(f % 97 != 50).select(f.alias("frame"), *(v.alias(c) for v, c in zip(values, TELEMETRY_FIELDS)))
 
 
-def telemetry_text(spark: SparkSession) -> DataFrame:
-    """The telemetry as one text of blocks, its counter starting anew half way."""
-    rows = telemetry(spark).filter("frame < 80")
+def clip_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clip for each supplier: the same flight, higher by the clip's number and with other frames missing."""
+    clips = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("clip"))
+    flight = clips.crossJoin(F.broadcast(telemetry(spark))).filter((F.col("frame") + F.col("clip")) % 61 != 7)  # 360 rows at most
+    return flight.withColumn("relative_altitude_m", F.col("relative_altitude_m") + F.col("clip") % 9)
+
+
+def telemetry_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 80 frames of each clip as one text of blocks, its counter starting anew half way."""
+    rows = clip_telemetry(spark, sf_dir).filter("frame < 80")
     f = F.col("frame") % 40
     block = F.format_string("%d\n00:00:00,000 --> 00:00:00,100\nFrameCnt: %d 2024-01-01\n[focal_len: %s] [latitude: %s] [longitude: %s] [rel_alt: %s abs_alt: 0] [gb_yaw: %s gb_pitch: %s gb_roll: %s]", "frame", f, *(F.col(c).cast("decimal(18,6)").cast("string") for c in ("focal_length_35mm", "latitude", "longitude", "relative_altitude_m", "gimbal_yaw_deg", "gimbal_pitch_deg", "gimbal_roll_deg")))
-    blocks = rows.select("frame", block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("frame", "block"))).alias("b"))
-    return blocks.select(F.array_join(F.transform("b", lambda s: s["block"]), "\n\n").alias("value"))
+    blocks = rows.select("clip", "frame", block.alias("block")).groupBy("clip").agg(F.sort_array(F.collect_list(F.struct("frame", "block"))).alias("b"))  # 80 blocks a clip
+    return blocks.select("clip", F.array_join(F.transform("b", lambda s: s["block"]), "\n\n").alias("value"))
 
 
 def calibration() -> Calibration:

@@ -158,19 +158,24 @@ _T = {"latitude": "47.25 + range * 1e-6", "longitude": "8.5 + range * 1e-6", "re
 CTES["telemetry"] = "SELECT range AS frame, " + ", ".join(f"CAST({_T[c]} AS DOUBLE) AS {c}" for c in TELEMETRY_FIELDS) + " FROM range(360) WHERE range % 97 <> 50"
 
 
-def _dense_telemetry(gap: int) -> str:
-    following = ", ".join(f"lead({c}) OVER (ORDER BY frame) AS b_{c}" for c in TELEMETRY_FIELDS)
+CTES["clips"] = "SELECT CAST(s_suppkey AS BIGINT) AS clip, t.* REPLACE (relative_altitude_m + s_suppkey % 9 AS relative_altitude_m) FROM supplier, telemetry t WHERE (frame + s_suppkey) % 61 <> 7"
+
+
+def _dense_telemetry(gap: int, source: str = "telemetry", key: str = "") -> str:
+    w = f"({'PARTITION BY ' + key if key else ''} ORDER BY frame)"
+    following = ", ".join(f"lead({c}) OVER {w} AS b_{c}" for c in TELEMETRY_FIELDS)
     share = "((pos - frame) / (b_frame - frame))"
 
     def value(c: str) -> str:
         line = f"{c} + {share} * ((b_{c} - {c} + 180 + 720) % 360 - 180)" if c in ("gimbal_yaw_deg", "gimbal_roll_deg") else f"{c} + {share} * (b_{c} - {c})"
         return f"CASE WHEN pos > frame THEN {line} ELSE {c} END AS {c}"
 
-    return f"SELECT pos AS frame, {', '.join(value(c) for c in TELEMETRY_FIELDS)}, pos > frame AS interpolated FROM (SELECT *, unnest(range(frame, CASE WHEN b_frame - frame - 1 BETWEEN 1 AND {gap} THEN b_frame ELSE frame + 1 END)) AS pos FROM (SELECT *, lead(frame) OVER (ORDER BY frame) AS b_frame, {following} FROM telemetry))"
+    return f"SELECT {key + ', ' if key else ''}pos AS frame, {', '.join(value(c) for c in TELEMETRY_FIELDS)}, pos > frame AS interpolated FROM (SELECT *, unnest(range(frame, CASE WHEN b_frame - frame - 1 BETWEEN 1 AND {gap} THEN b_frame ELSE frame + 1 END)) AS pos FROM (SELECT *, lead(frame) OVER {w} AS b_frame, {following} FROM {source}))"
 
 
 CTES["telemetry_all"] = _dense_telemetry(2)
 CTES["telemetry_own"] = _dense_telemetry(0)
+CTES["clips_all"] = _dense_telemetry(2, "clips", "clip")
 _F = f"(focal_length_35mm * {fx.WIDTH / geo.SENSOR_WIDTH_MM!r}::DOUBLE)"
 CTES["rays"] = f"""
     SELECT c.track_id, c.segment_id, c.frame, relative_altitude_m AS alt, gimbal_pitch_deg AS pitch, focal_length_35mm AS focal, longitude, latitude, (ground_x_smooth - {(fx.WIDTH - 1) / 2}) / {_F} AS rx, (ground_y_smooth - {(fx.HEIGHT - 1) / 2}) / {_F} AS ry,
@@ -319,9 +324,9 @@ ORACLE_SQL: dict[str, str] = {
     "track_colour_vote": _sql("colors", "track_id dominant_color color_samples", "color_confidence", 4),
     "homography_project": _plain(f"SELECT track_id, segment_id, frame, round({_projection('ground_x_smooth', 'ground_y_smooth')[0]} + 1e-9, 6) + 0 AS x_m, round({_projection('ground_x_smooth', 'ground_y_smooth')[1]} + 1e-9, 6) + 0 AS y_m FROM l1_clean"),
     "inside_hull": _plain(f"SELECT track_id, segment_id, frame, {_inside('ground_x_smooth', 'ground_y_smooth')} AS inside FROM l1_clean"),
-    "telemetry_segments": _plain("SELECT place, frame, CAST(sum(reset) OVER (ORDER BY place) AS BIGINT) AS segment FROM (SELECT frame AS place, frame % 100 AS frame, CASE WHEN frame % 100 <= lag(frame % 100) OVER (ORDER BY frame) THEN 1 ELSE 0 END AS reset FROM telemetry)"),
-    "srt_parse": _plain("SELECT row_number() OVER (ORDER BY t.frame) - 1 AS place, t.frame % 40 AS frame, CAST(t.frame // 40 AS BIGINT) AS segment, " + ", ".join(f"round({c}, 6) + 0 AS {c}" for c in TELEMETRY_FIELDS) + " FROM telemetry t WHERE t.frame < 80"),
-    "telemetry_dense": _sql("telemetry_all", "frame interpolated", " ".join(TELEMETRY_FIELDS), 7),
+    "telemetry_segments": _plain("SELECT clip, place, frame, CAST(sum(reset) OVER (PARTITION BY clip ORDER BY place) AS BIGINT) AS segment FROM (SELECT clip, frame AS place, frame % 100 AS frame, CASE WHEN frame % 100 <= lag(frame % 100) OVER (PARTITION BY clip ORDER BY frame) THEN 1 ELSE 0 END AS reset FROM clips)"),
+    "srt_parse": _plain("SELECT clip, row_number() OVER (PARTITION BY clip ORDER BY t.frame) - 1 AS place, t.frame % 40 AS frame, CAST(t.frame // 40 AS BIGINT) AS segment, " + ", ".join(f"round({c}, 6) + 0 AS {c}" for c in TELEMETRY_FIELDS) + " FROM clips t WHERE t.frame < 80"),
+    "telemetry_dense": _sql("clips_all", "clip frame interpolated", " ".join(TELEMETRY_FIELDS), 7),
     "telemetry_project": _sql("landed", f"{_KEYS} inside", "x_m y_m", 5),
     "telemetry_report": _plain("SELECT min(frame) AS first_frame, max(frame) AS last_frame, " + ", ".join(f"{k}({c}) AS {k}_{c}" for c in ("relative_altitude_m", "gimbal_pitch_deg", "gimbal_yaw_deg", "focal_length_35mm") for k in ("min", "max")) + ", (SELECT count(*) FROM telemetry_all SEMI JOIN l2_clean USING (frame) WHERE interpolated) AS interpolated_frame_count FROM telemetry"),
     "missing_frames": _plain("SELECT DISTINCT frame FROM l2_clean ANTI JOIN telemetry_own USING (frame) ORDER BY frame LIMIT 10"),

@@ -165,17 +165,17 @@ def inside_hull(s, d):
 
 
 def telemetry_segments(s, d):
-    rows = fx.telemetry(s).select(F.col("frame").alias("place"), (F.col("frame") % 100).alias("frame"))
-    return geo.telemetry_segments(rows)
+    rows = fx.clip_telemetry(s, d).select("clip", F.col("frame").alias("place"), (F.col("frame") % 100).alias("frame"))
+    return geo.telemetry_segments(rows, "clip")
 
 
 def srt_parse(s, d):
-    rows = tables.telemetry_from_text(fx.telemetry_text(s))
-    return rounded(rows.select(F.col("place").cast("long").alias("place"), "frame", "segment", *TELEMETRY_FIELDS))
+    rows = tables.telemetry_from_text(fx.telemetry_text(s, d), clip="clip")
+    return rounded(rows.select("clip", F.col("place").cast("long").alias("place"), "frame", "segment", *TELEMETRY_FIELDS))
 
 
 def telemetry_dense(s, d):
-    return rounded(geo.dense_telemetry(fx.telemetry(s)), 7)
+    return rounded(geo.dense_telemetry(fx.clip_telemetry(s, d), clip="clip"), 7)
 
 
 def _projected(s, d):

@@ -50,15 +50,20 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
-def telemetry_from_text(texts: DataFrame, text: str = "value") -> DataFrame:
-    """place, frame, telemetry fields (null where missing) and segment of each block that has a frame counter."""
-    blocks = texts.select(F.posexplode(F.split(F.regexp_replace(F.col(text), "^﻿", ""), BLOCKS)).alias("place", "block"))
+def telemetry_from_text(texts: DataFrame, text: str = "value", clip: str | None = None) -> DataFrame:
+    """place, frame, telemetry fields (null where missing) and segment of each block that has a frame counter.
+
+    clip names the column that tells several texts apart, each of which is counted by
+    itself; without it there is one text.
+    """
+    keys = [clip] if clip else []
+    blocks = texts.select(*keys, F.posexplode(F.split(F.regexp_replace(F.col(text), "^﻿", ""), BLOCKS)).alias("place", "block"))
 
     def field(pattern: str) -> Column:
         return F.when(F.col("block").rlike(pattern), F.regexp_extract("block", pattern, 1))
 
-    rows = blocks.select("place", field(FRAME_PATTERN).cast("long").alias("frame"), *(field(p).try_cast("double").alias(c) for c, p in TELEMETRY_PATTERNS.items()))
-    return telemetry_segments(rows.filter("frame IS NOT NULL"))
+    rows = blocks.select(*keys, "place", field(FRAME_PATTERN).cast("long").alias("frame"), *(field(p).try_cast("double").alias(c) for c, p in TELEMETRY_PATTERNS.items()))
+    return telemetry_segments(rows.filter("frame IS NOT NULL"), clip)
 
 
 def read_telemetry(spark: SparkSession, path: str, segment: int | None = None) -> DataFrame:
