@@ -257,7 +257,7 @@ def _packing_sql(width: int, height: int) -> str:
             UNION ALL
             SELECT frame, turn, place, best, CASE WHEN best IS NULL THEN taken ELSE list_append(taken, best) END
             FROM (SELECT o.frame, o.turn, o.place, CAST({fits} AS STRUCT(slot INTEGER, l INTEGER, t INTEGER, r INTEGER, b INTEGER)) AS best, p.taken FROM packed p JOIN offers o ON o.frame = p.frame AND o.turn = p.turn + 1))
-        SELECT frame, place, best.slot AS slot, best.l AS "left", best.t AS top, best.r AS "right", best.b AS bottom FROM packed WHERE turn > 0"""
+        SELECT frame, place, coalesce(best.slot, -1) AS slot, coalesce(best.l, -1) AS "left", coalesce(best.t, -1) AS top, coalesce(best.r, -1) AS "right", coalesce(best.b, -1) AS bottom FROM packed WHERE turn > 0"""
     )
 
 

@@ -259,7 +259,8 @@ def label_overlap_pairs(s, d):
 
 def label_packing(s, d):
     rows = evidence.labels(_shown(s, d), _insights(s, d, False), _motion2(s, d))
-    return evidence.pack_labels(rows, fx.WIDTH // 2, fx.HEIGHT // 2)
+    packed = evidence.pack_labels(rows, fx.WIDTH // 2, fx.HEIGHT // 2)
+    return packed.select("frame", "place", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("slot", "left", "top", "right", "bottom")))
 
 
 def stable_tracks(s, d):
