@@ -708,6 +708,47 @@ def test_shards(spark, docs):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+# intermediate tables
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    made = common.materialize(spark.range(3), "x")
+    folder = common._folder_of[made].removeprefix("file://")
+    other = common.materialize(spark.range(4), "y")
+    assert os.path.isdir(folder) and made.count() == 3
+    common.discard(made, spark.range(1))
+    assert not os.path.isdir(folder) and other.count() == 4
+    left = common._folder_of[other].removeprefix("file://")
+    common.clean_up(spark)
+    assert not os.path.isdir(left)
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Session())
+
+
+def test_sides_are_broadcast_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1000)
+    few, many = spark.range(5), spark.range(50)
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(common.narrow(few)) and "broadcast" not in plan(common.narrow(many))
+    assert "broadcast" not in plan(common.narrow(few, width=F.lit(300) + F.col("id"))) and "broadcast" in plan(common.narrow(few.limit(0), width=F.col("id")))
+
+
 # words
 
 

@@ -26,8 +26,8 @@ NEIGHBOURS = 15
 #: Cosines that differ by less tie.
 TIE = 1e-5
 BLOCK = 512
-#: Terms, those in most rows of the sample, that the singular vectors are made from.
-MAX_TERMS = 2000
+#: Further vectors and rounds of the subspace iteration.
+SPARE, ITERATIONS = 16, 6
 
 _CLASSES = 40
 
@@ -81,28 +81,56 @@ class Model:
         if not self.ready:
             return
         seen = np.bincount(np.concatenate([t for t, _ in rows]), minlength=TERMS)
-        used = np.sort(np.lexsort((np.arange(TERMS), -seen))[: min(MAX_TERMS, np.count_nonzero(seen))])
+        used = np.flatnonzero(seen)  # every term of the sample
         self.column = np.full(TERMS, -1, np.int64)
         self.column[used] = np.arange(len(used))
-        seen = seen[used]
-        self.weight = np.log(1 + len(rows) / (1 + seen))
-        x = self.matrix(rows)
-        self.mean = x.mean(axis=0)
-        gram = (x - self.mean).T @ (x - self.mean)
-        values, vectors = np.linalg.eigh(gram)
-        self.basis = np.ascontiguousarray(vectors[:, ::-1][:, :dimensions]).astype(np.float32)
-        self.mean = self.mean.astype(np.float32)
-        self.vectors, self.labels = self.project(rows), labels.astype(np.float32)
-
-    def matrix(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        x = np.zeros((len(rows), len(self.weight)), np.float32)
-        for i, (t, v) in enumerate(rows):
-            at = self.column[t]
-            x[i, at[at >= 0]] = v[at >= 0] * self.weight[at[at >= 0]]
-        return x
+        self.weight = np.log(1 + len(rows) / (1 + seen[used]))
+        self.basis = self.singular_vectors(rows, dimensions)
+        self.mean = self.products(rows, self.basis).mean(axis=0)
+        self.vectors, self.labels = self.project(rows), labels.astype(float)
+
+    def weighted(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Columns and weighted values of all rows one after the other, and where each row begins; terms that the sample lacks go."""
+        columns, values = self.column[np.concatenate([t for t, _ in rows])], np.concatenate([v for _, v in rows])
+        known = columns >= 0
+        begins = np.concatenate([[0], np.cumsum(known)])[np.cumsum([0, *(len(t) for t, _ in rows)])]
+        columns = columns[known]
+        return columns, (values[known] * self.weight[columns]).astype(np.float32), begins
+
+    def products(self, rows: list[tuple[np.ndarray, np.ndarray]], right: np.ndarray) -> np.ndarray:
+        """The sparse matrix of rows times right, block by block."""
+        out = np.zeros((len(rows), right.shape[1]), np.float32)
+        for i in range(0, len(rows), BLOCK):
+            columns, values, begins = self.weighted(rows[i : i + BLOCK])
+            full = np.flatnonzero(begins[1:] > begins[:-1])
+            if len(full):
+                out[i + full] = np.add.reduceat(right[columns] * values[:, None], begins[:-1][full], axis=0)
+        return out
+
+    def singular_vectors(self, rows: list[tuple[np.ndarray, np.ndarray]], dimensions: int) -> np.ndarray:
+        """Leading right singular vectors of the centred rows, by subspace iteration from a fixed start; only blocks are ever dense."""
+        terms, wide = len(self.weight), min(dimensions + SPARE, len(self.weight), len(rows))
+        basis = np.linalg.qr(np.random.default_rng(11).standard_normal((terms, wide)))[0].astype(np.float32)
+        for _ in range(ITERATIONS):
+            left = self.products(rows, basis)
+            left -= left.mean(axis=0)
+            back = np.zeros((terms, wide), np.float32)
+            for i in range(0, len(rows), BLOCK):
+                columns, values, begins = self.weighted(rows[i : i + BLOCK])
+                owner = np.repeat(np.arange(len(begins) - 1), np.diff(begins)) + i
+                order = np.argsort(columns, kind="stable")
+                columns, values, owner = columns[order], values[order], owner[order]
+                first = np.flatnonzero(np.concatenate([[True], columns[1:] != columns[:-1]])) if len(columns) else np.zeros(0, np.int64)
+                if len(first):
+                    back[columns[first]] += np.add.reduceat(left[owner] * values[:, None], first, axis=0)
+            basis, _ = np.linalg.qr(back)
+        left = self.products(rows, basis)
+        left -= left.mean(axis=0)
+        _, _, turn = np.linalg.svd(left.astype(np.float64), full_matrices=False)
+        return np.ascontiguousarray((basis @ turn.T)[:, :dimensions]).astype(np.float32)
 
     def project(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        z = (self.matrix(rows) - self.mean) @ self.basis
+        z = (self.products(rows, self.basis) - self.mean).astype(float)  # cosines in double precision do not depend on the batch
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -117,7 +145,7 @@ class Model:
             votes = np.where(near >= least[:, None] - TIE, np.exp(8 * (near - 1)), 0)  # all that tie with the last vote too
             share = (votes @ self.labels + 1e-6) / (votes.sum(axis=1) + 2e-6)
             odds1, odds0 = share * self.prior / self.labels.mean(), (1 - share) * (1 - self.prior) / (1 - self.labels.mean())
-            out[i : i + BLOCK] = odds1 / (odds1 + odds0)
+            out[i : i + BLOCK] = np.round(odds1 / (odds1 + odds0), 9)
         return out
 
 
