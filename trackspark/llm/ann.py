@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, narrow
+from .common import materialize, narrow
 from .sharding import number_rows
 
 #: Rotations, each of which gives as many projections as the vectors have dimensions and one.
@@ -210,7 +210,7 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, key: str = "vec_id",
             at = lifted(_matrix(batch, dimensions), longest) @ lines[:, 0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], names=[*batch.schema.names, "at"])
 
-    rows = bounded(rows.filter(F.size("vector") == dimensions).select("vec_id", "asks", "vector")).mapInArrow(project, "vec_id long, asks boolean, vector array<double>, at double")
+    rows = rows.filter(F.size("vector") == dimensions).select("vec_id", "asks", "vector").mapInArrow(project, "vec_id long, asks boolean, vector array<double>, at double")
     numbered, _ = number_rows(rows, "at", F.xxhash64("vec_id"), "vector")
     size = max(block_rows, -(-total // MOST_BLOCKS))
     placed = materialize(numbered.withColumn("block", F.floor(F.col("row_number") / size).cast("long")).select("block", "vec_id", "asks", "vector", "at"), "placed")
@@ -278,7 +278,7 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, key: str = "vec_id",
         near = narrow(parts)
         data = placed.join(near, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("query"), F.col("vec_id").alias("id"), "vector", F.lit(None).cast("double").alias("radius"))
         asks = visits.join(near, "block").select("block", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("query"), F.col("query_id").alias("id"), "vector", "radius")
-        return bounded(data.unionAll(asks).repartition("block", "part").sortWithinPartitions("block", "part", "query")).mapInArrow(answer, FOUND)
+        return data.unionAll(asks).repartition("block", "part").sortWithinPartitions("block", "part", "query").mapInArrow(answer, FOUND)
 
     at_home = materialize(searched(materialize(queries.mapInArrow(visit(True), VISIT), "visits")), "home")
     radii = at_home.groupBy("query_id").agg(F.max("radius").alias("radius"))

@@ -200,9 +200,8 @@ def run_owner(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return start, owner
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df, with the session's Arrow batches limited to 1000 rows, since rows hold whole texts."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= 1000:
-        conf.set(name, "1000")
-    return df
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Limit the session's Arrow batches to rows, for an application whose rows hold whole texts; operators leave the session alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

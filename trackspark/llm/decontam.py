@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, rolling, run_owner, text_column, words
+from .common import chunks, rolling, run_owner, text_column, words
 
 SEED_WORDS = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -218,7 +218,7 @@ def _block(base: DataFrame, items: Items) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["gram", "n"])
 
     counts = np.zeros(len(items.kinds), np.int64)
-    for row in bounded(base.select("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # a row for each pair of the block at most
+    for row in base.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # a row for each pair of the block at most
         counts[row["gram"]] = row["n"]
     items.seeds(counts)
     send = spark.sparkContext.broadcast(items)
@@ -233,4 +233,4 @@ def _block(base: DataFrame, items: Items) -> DataFrame:
                     text, item, score, begin, end = zip(*got)
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(text)), part.column("version").take(pa.array(text)), pa.array([known.ids[i] for i in item], pa.int64()), pa.array(score, pa.float64()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], names=[c.split()[0] for c in LEAKS.split(", ")])
 
-    return bounded(base).mapInArrow(run, LEAKS)
+    return base.mapInArrow(run, LEAKS)

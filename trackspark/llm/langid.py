@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, materialize, narrow
+from .common import chunks, materialize, narrow
 
 #: Grams of one to MAX_GRAM letters; the ranks of the PROFILE most frequent are compared.
 MAX_GRAM = 3
@@ -117,7 +117,7 @@ def learn(docs: DataFrame, train: str, text: str = "text", lang: str = "lang", k
                     kinds, n = np.unique(np.concatenate(codes), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds), pa.string()), pa.array(kinds.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
-    totals = bounded(taken).mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    totals = taken.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     best = materialize(totals, "grams").withColumn("place", place).filter(F.col("place") <= size)
     found: dict[str, list[tuple[int, int]]] = {}
@@ -145,4 +145,4 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", keep_text:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array([x for x, _ in got], pa.string()), pa.array([float(s) for _, s in got], pa.float64())], names=[*others, "lang_pred", "score"])
 
     schema = docs.select(*others, F.lit("").cast("string").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return bounded(docs.select(*others, *([] if keep_text else [text]))).mapInArrow(run, schema)
+    return docs.select(*others, *([] if keep_text else [text])).mapInArrow(run, schema)

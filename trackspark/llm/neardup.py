@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, discard, materialize, mix, narrow, rolling, run_owner, text_column, words
+from .common import chunks, discard, materialize, mix, narrow, rolling, run_owner, text_column, words
 from .components import components
 
 SHINGLE = 5
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", size: i
                     names=["doc_id", "version", "n_shingles", "digest", "bands"],
                 )
 
-    return bounded(_entities(docs, text, key)).mapInArrow(run, "doc_id long, version long, n_shingles long, digest binary, bands array<long>")
+    return _entities(docs, text, key).mapInArrow(run, "doc_id long, version long, n_shingles long, digest binary, bands array<long>")
 
 
 def full_sets(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -122,7 +122,7 @@ def full_sets(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
                 at = np.cumsum([0, *map(len, sets)])
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets)))], names=["node", "items"])
 
-    return bounded(rows.select("node", "text")).mapInArrow(run, "node long, items array<long>")
+    return rows.select("node", "text").mapInArrow(run, "node long, items array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, text_bytes, text_column, words
+from .common import chunks, text_bytes, text_column, words
 
 #: Labelled rows of each label that are fitted on at most; what is broadcast is bounded by it.
 SAMPLE_PER_LABEL = 2048
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: str, text: str = "text", key:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), part.column("version"), pa.array([t.astype(np.int32) for t, _ in rows], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in rows], pa.list_(pa.float32()))], names=["doc_id", "label", "version", "terms", "shares"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(taken, "doc_id").select("doc_id", "label", "text", F.sha2("text", 256).alias("version"))
-    made = bounded(rows).mapInArrow(run, "doc_id long, label int, version string, terms array<int>, shares array<float>")
+    made = rows.mapInArrow(run, "doc_id long, label int, version string, terms array<int>, shares array<float>")
     got = made.groupBy("doc_id").agg(*(F.min_by(c, F.coalesce("version", F.lit(""))).alias(c) for c in ("label", "terms", "shares"))).toPandas().sort_values("doc_id")
     terms = [(np.asarray(t, np.int64), np.asarray(v, np.float64)) for t, v in zip(got["terms"], got["shares"])]
     return Model(terms, got["label"].to_numpy(), total.get(1, 0) / sum(total.values()))
@@ -193,4 +193,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 made = known.scores(term_counts(text_column(part.column(text))))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(made, pa.float64())], names=[*others, "score"])
 
-    return bounded(docs.select(*others, F.col(text))).mapInArrow(run, docs.select(*others, F.lit(0.0).alias("score")).schema)
+    return docs.select(*others, F.col(text)).mapInArrow(run, docs.select(*others, F.lit(0.0).alias("score")).schema)

@@ -11,6 +11,7 @@ from . import ann, common, decontam, langid, neardup, packing, quality, secrets,
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, chunks, materialize, narrow, rolling, run_owner, text_column, words
+from .common import chunks, materialize, narrow, rolling, run_owner, text_column, words
 
 WINDOW = 50
 #: Text bytes for each hash shard; what one shard's task holds is in proportion.
@@ -315,7 +315,7 @@ def removed_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", wind
     total = base.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     counts = levels(max(1, -(-total // SHARD_BYTES)))
     rest = base.join(narrow(copies), ["doc_id", "version"], "left_anti")
-    sent = bounded(rest.select("doc_id", "text")).mapInArrow(send_probes(block, counts[0]), ANCHORS)
+    sent = rest.select("doc_id", "text").mapInArrow(send_probes(block, counts[0]), ANCHORS)
     sent = deal(sent, counts, resend_probes, ANCHORS)
     met = sent.groupBy("shard").applyInArrow(meet_probes, "doc_id long, anchors array<long>")
     anchors = materialize(met.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors")), "anchors")
@@ -375,4 +375,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return bounded(rows).mapInArrow(run, KEPT + ", kept_text string" * with_text)
+    return rows.mapInArrow(run, KEPT + ", kept_text string" * with_text)
