@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, decontam, langid, neardup, packing, quality, secrets, sharding, substring, warc
+from . import ann, common, decontam, langid, neardup, packing, quality, resample, secrets, sharding, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +68,11 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_neardup, op3_secrets, op4_decontam, op5_warc, op6_langid, op7_packing, op8_ann, op9_sharding, op10_substring)}
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_neardup, op3_secrets, op4_decontam, op5_warc, op6_langid, op7_packing, op8_ann, op9_sharding, op10_substring, op11_resample)}
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
@@ -128,7 +132,40 @@ def _sharding_sql(shards: int = 40, seed: int = 20240101, rounds: int = 6) -> st
     """
 
 
+#: Lower-cased words of ASCII letters and digits and of all characters beyond ASCII.
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+PLAIN_WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _resample_sql() -> str:
+    """Features by list functions, CRC-32 of the distinct ones byte by byte, and ranks by one sort."""
+
+    def features(table: str) -> str:
+        return f"SELECT rn, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM {table}"
+
+    return f"""
+        WITH t AS (SELECT list_transform(range(256), lambda k: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k)) AS tab),
+        d AS (SELECT row_number() OVER () AS rn, doc_id, {PLAIN_WORDS} AS w FROM documents),
+        b AS (SELECT row_number() OVER () AS rn, {PLAIN_WORDS} AS w FROM benchmark),
+        df AS (SELECT rn, f, count(*) AS n FROM ({features("d")}) GROUP BY rn, f),
+        bf AS (SELECT f, count(*) AS n FROM ({features("b")}) GROUP BY f),
+        h AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+        k AS (SELECT f, xor(list_reduce(list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)), lambda c, x: xor(tab[1 + (xor(c, x) & 255)], c >> 8), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket FROM h, t),
+        s AS (SELECT bucket, sum(n) AS n FROM df JOIN k USING (f) GROUP BY bucket),
+        u AS (SELECT bucket, sum(n) AS n FROM bf JOIN k USING (f) GROUP BY bucket),
+        n AS (SELECT (SELECT coalesce(sum(n), 0) FROM s) AS all_s, (SELECT coalesce(sum(n), 0) FROM u) AS all_t),
+        g AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(u.n, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * (all_t + 10000)::DOUBLE))) AS BIGINT) AS gain FROM n, s LEFT JOIN u ON u.bucket = s.bucket),
+        m AS (SELECT rn, sum(df.n) AS n, sum(df.n * gain) AS total FROM df JOIN k USING (f) JOIN g USING (bucket) GROUP BY rn),
+        x AS (SELECT rn, doc_id, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(floor(total::DOUBLE / n::DOUBLE), 0) AS BIGINT) AS weight,
+                     CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN m USING (rn)),
+        y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM x),
+        r AS (SELECT rn, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, rn) AS place, count(*) OVER () AS able FROM y WHERE n_words >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * able // 100 THEN place END AS rank FROM y LEFT JOIN r USING (rn)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_resample": _resample_sql(),
     "op9_sharding": _sharding_sql(),
     "op2_neardup": rf"""
         WITH RECURSIVE d AS (
