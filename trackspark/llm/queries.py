@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, decontam, langid, neardup, packing, quality, resample, secrets, sharding, substring, warc
+from . import ann, common, decontam, langid, licenses, neardup, packing, quality, resample, secrets, sharding, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +72,11 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_neardup, op3_secrets, op4_decontam, op5_warc, op6_langid, op7_packing, op8_ann, op9_sharding, op10_substring, op11_resample)}
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_neardup, op3_secrets, op4_decontam, op5_warc, op6_langid, op7_packing, op8_ann, op9_sharding, op10_substring, op11_resample, op13_licenses)}
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
@@ -164,7 +168,34 @@ def _resample_sql() -> str:
     """
 
 
+def _licenses_sql() -> str:
+    """The phrases as literals; the notices' wordings, which are data, from the operator."""
+    phrases = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
+    rows = ", ".join(f"({i}, '{label}', {str(i < 3).lower()}, '{text}')" for i, (label, text) in enumerate([*phrases, *licenses.NOTICES]))
+
+    def best(diagonals: str) -> str:
+        low, high = (f"list_{m}(list_transform({diagonals}, lambda d: d.diagonal + list_{m}(d.places)))" for m in ("min", "max"))
+        covered = f"len(list_distinct(flatten(list_transform(flatten(list_transform({diagonals}, lambda d: d.places)), lambda p: [p, p + 1, p + 2]))))"
+        return f"{{'ratio': {covered} / greatest(size, {high} + 3 - {low}), 'covered': {covered}, 'length': {high} + 3 - {low}}}"
+
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {PLAIN_WORDS} AS w FROM documents),
+        t AS (SELECT template, label, phrase, w, len(w) AS size FROM (SELECT template, label, phrase, {PLAIN_WORDS} AS w FROM (VALUES {rows}) v(template, label, phrase, text))),
+        tg AS (SELECT * EXCLUDE (w), w[spot + 1:spot + 3] AS gram FROM (SELECT *, unnest(range(0, size - 2)) AS spot FROM t)),
+        g AS (SELECT rn, place, w[place + 1:place + 3] AS gram FROM (SELECT rn, w, unnest(range(0, len(w) - 2)) AS place FROM d)),
+        v AS (SELECT rn, template, label, phrase, size, place - spot AS diagonal, count(*) AS votes, list_sort(list(DISTINCT spot)) AS places FROM g JOIN tg USING (gram) GROUP BY ALL),
+        n AS (SELECT *, list({{'diagonal': diagonal, 'places': places}}) OVER (PARTITION BY rn, template ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND 8 FOLLOWING) AS near FROM v),
+        b AS (SELECT *, greatest({best("[{'diagonal': diagonal, 'places': places}]")}, {best("near")}) AS best FROM n),
+        s AS (SELECT rn, label, phrase AND votes = size - 2 AS base, diagonal, best.ratio AS ratio, greatest(size, best.length) - best.covered <= size // 8 AS verified FROM b),
+        a AS (SELECT rn, count(*) FILTER (base) AS n_base, min(diagonal) FILTER (base) AS first_word, max(diagonal) FILTER (base) AS last_word,
+                     array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label) FILTER (verified)), ',') AS labels, max(ratio) AS score FROM s GROUP BY rn)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+        FROM d LEFT JOIN a USING (rn)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_licenses": _licenses_sql(),
     "op11_resample": _resample_sql(),
     "op9_sharding": _sharding_sql(),
     "op2_neardup": rf"""
