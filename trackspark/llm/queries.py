@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, decontam, langid, licenses, neardup, packing, quality, resample, secrets, sharding, substring, warc
+from . import ann, common, conversations, decontam, langid, licenses, neardup, packing, quality, resample, secrets, sharding, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,11 +72,15 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(conversations.repair(conversations.damage(_table(spark, sf_dir, "conversations")), present="present"))
+
+
 def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_neardup, op3_secrets, op4_decontam, op5_warc, op6_langid, op7_packing, op8_ann, op9_sharding, op10_substring, op11_resample, op13_licenses)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_neardup, op3_secrets, op4_decontam, op5_warc, op6_langid, op7_packing, op8_ann, op9_sharding, op10_substring, op11_resample, op12_conversations, op13_licenses)}
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
@@ -194,7 +198,41 @@ def _licenses_sql() -> str:
     """
 
 
+def _conversations_sql() -> str:
+    """The plain dynamic programme: whole audit texts and repaired lines in each state, row by row."""
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+        WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda k: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k)) AS tab),
+        k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS h FROM conversations),
+        c AS (SELECT *, xor(list_reduce(list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)), lambda c, x: xor(tab[1 + (xor(c, x) & 255)], c >> 8), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS hit FROM k, t),
+        v AS (SELECT row_number() OVER () AS conv, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)),
+        e AS (SELECT conv, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN hit = 3 THEN 2 ELSE 1 END)) AS copy
+              FROM c JOIN v ON v.conv_id IS NOT DISTINCT FROM c.conv_id WHERE hit <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text), copy) AS i, rtrim(text, {blanks}) AS ending FROM e),
+        f AS (SELECT *, left(role, 1) AS kind, ending = '' AS blank, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again, right(ending, 1) NOT IN ('.', '!', '?') AS open_end, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) AS before FROM o),
+        g AS (SELECT conv, i, role, text, kind, blank, again AND NOT blank AS duplicate, open_end AND NOT blank AND NOT again AS truncated, turn, before FROM f),
+        s AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+                     count(*) FILTER (before IS NOT NULL AND before || kind NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM g GROUP BY conv),
+        ins AS (SELECT * FROM (VALUES (0, 0, '', 0, NULL), (1, 1, '', 0, NULL), (2, 2, '', 0, NULL), (3, 3, '', 0, NULL), (0, 2, 'I', 5, 'user:'), (1, 2, 'I', 5, 'user:'), (2, 3, 'I', 5, 'assistant:'), (3, 2, 'I', 5, 'user:')) x(p, m, code, cost, line)),
+        op AS (SELECT * FROM (VALUES (0, 0, 'D', 2, NULL, NULL), (1, 1, 'D', 2, NULL, NULL), (2, 2, 'D', 2, NULL, NULL), (3, 3, 'D', 2, NULL, NULL), (0, 2, 'R', 1, NULL, 'user'), (1, 2, 'R', 1, NULL, 'user'), (3, 2, 'R', 1, NULL, 'user'), (2, 3, 'R', 1, NULL, 'assistant'),
+                                     (0, 1, 'K', 0, 's', NULL), (0, 2, 'K', 0, 'u', NULL), (1, 2, 'K', 0, 'u', NULL), (3, 2, 'K', 0, 'u', NULL), (2, 3, 'K', 0, 'a', NULL)) x(m, q, code, cost, kind, role)),
+        r AS (
+            SELECT conv, CAST(0 AS BIGINT) AS i, 0 AS q, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM v
+            UNION ALL
+            SELECT * FROM (
+                SELECT r.conv, g.i, op.q, r.cost + ins.cost + op.cost + CASE WHEN op.code <> 'D' AND truncated THEN 5 ELSE 0 END AS cost, r.audit || ins.code || op.code AS audit,
+                       r.lines || CASE WHEN ins.line IS NULL THEN [] ELSE [ins.line] END || CASE op.code WHEN 'D' THEN [] WHEN 'K' THEN [g.role || ':' || g.text] ELSE [op.role || ':' || g.text] END AS lines
+                FROM r JOIN g ON g.conv = r.conv AND g.i = r.i + 1 JOIN ins ON ins.p = r.q JOIN op ON op.m = ins.m AND (op.kind IS NULL OR op.kind = g.kind) AND (op.code = 'D' OR NOT (blank OR duplicate)))
+            QUALIFY row_number() OVER (PARTITION BY conv, q ORDER BY cost, audit) = 1),
+        z AS (SELECT r.conv, r.cost + ins.cost AS cost, r.audit || ins.code AS audit, r.lines || CASE WHEN ins.line IS NULL THEN [] ELSE [ins.line] END AS lines
+              FROM r LEFT JOIN s USING (conv) JOIN ins ON ins.p = r.q AND ins.m IN (0, 3) WHERE r.i = coalesce(s.n, 0) QUALIFY row_number() OVER (PARTITION BY r.conv ORDER BY r.cost + ins.cost, r.audit || ins.code) = 1)
+        SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(array_to_string(lines, chr(10))) AS repaired_sha256
+        FROM v JOIN z USING (conv) LEFT JOIN s USING (conv)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_conversations": _conversations_sql(),
     "op13_licenses": _licenses_sql(),
     "op11_resample": _resample_sql(),
     "op9_sharding": _sharding_sql(),
