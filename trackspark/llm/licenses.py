@@ -10,7 +10,7 @@ GRAM = 3
 #: Diagonals up to so many words apart belong together: words put in or left out.
 SLACK = 8
 #: One word in so many of a template may be missing, or come in addition.
-TOLERANCE = 8
+TOLERANCE = 12
 
 #: Phrases that name a license wherever their words stand in a row.
 PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))

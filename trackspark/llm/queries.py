@@ -190,7 +190,7 @@ def _licenses_sql() -> str:
         v AS (SELECT rn, template, label, phrase, size, place - spot AS diagonal, count(*) AS votes, list_sort(list(DISTINCT spot)) AS places FROM g JOIN tg USING (gram) GROUP BY ALL),
         n AS (SELECT *, list({{'diagonal': diagonal, 'places': places}}) OVER (PARTITION BY rn, template ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND 8 FOLLOWING) AS near FROM v),
         b AS (SELECT *, greatest({best("[{'diagonal': diagonal, 'places': places}]")}, {best("near")}) AS best FROM n),
-        s AS (SELECT rn, label, phrase AND votes = size - 2 AS base, diagonal, best.ratio AS ratio, greatest(size, best.length) - best.covered <= size // 8 AS verified FROM b),
+        s AS (SELECT rn, label, phrase AND votes = size - 2 AS base, diagonal, best.ratio AS ratio, greatest(size, best.length) - best.covered <= size // 12 AS verified FROM b),
         a AS (SELECT rn, count(*) FILTER (base) AS n_base, min(diagonal) FILTER (base) AS first_word, max(diagonal) FILTER (base) AS last_word,
                      array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label) FILTER (verified)), ',') AS labels, max(ratio) AS score FROM s GROUP BY rn)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
