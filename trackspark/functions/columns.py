@@ -39,24 +39,25 @@ def round_exact(value: Column, places: int) -> Column:
     """A double rounded to decimal places by its binary value, exact ties to the even digit, as Python rounds.
 
     The product with the power of ten is taken with its error (Dekker 1971), so a value
-    that merely prints as a tie falls to its true side.
+    that merely prints as a tie falls to its true side.  Plain arithmetic only, which
+    stays in generated code; the error is looked at only where the product is near a tie.
     """
     scale, split = float(10**places), 134217729.0
-
-    def halves(x: Column) -> tuple[Column, Column]:
-        high = x * split - (x * split - x)
-        return high, x - high
-
-    def of(v: Column) -> Column:
-        product = v * scale
-        (vh, vl), (sh, sl) = halves(v), halves(F.lit(scale))
-        error = ((vh * sh - product) + vh * sl + vl * sh) + vl * sl
-        down = F.floor(product).cast("double")
-        above = (product - down - 0.5) + error
-        up = (above > 0) | ((above == 0) & (F.pmod(down, F.lit(2.0)) == 1.0))
-        return (down + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / scale
-
-    return F.when(F.abs(value) < 1e9, let(value.cast("double"), of)).otherwise(value)
+    scale_high = scale * split - (scale * split - scale)
+    scale_low = scale - scale_high
+    value = value.cast("double")
+    product = value * scale
+    down = F.floor(product)
+    above = product - down - 0.5
+    high = value * split - (value * split - value)
+    low = value - high
+    error = high * scale_high - product
+    error = error + low * scale_high if scale_low == 0 else error + high * scale_low + low * scale_high
+    error = error if scale_low == 0 else error + low * scale_low
+    exact = above + error
+    odd = down.bitwiseAND(F.lit(1)).cast("double")
+    step = F.when(F.abs(above) > 0.25, (above > 0).cast("double")).when(exact == 0, odd).otherwise((exact > 0).cast("double"))
+    return F.when(F.abs(value) < 1e9, (down + step) / scale).otherwise(value)
 
 
 def positive_part(value: Column) -> Column:
