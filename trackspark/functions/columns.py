@@ -38,26 +38,20 @@ def let(value: Column, body) -> Column:
 def round_exact(value: Column, places: int) -> Column:
     """A double rounded to decimal places by its binary value, exact ties to the even digit, as Python rounds.
 
-    The product with the power of ten is taken with its error (Dekker 1971), so a value
-    that merely prints as a tie falls to its true side.  Plain arithmetic only, which
-    stays in generated code; the error is looked at only where the product is near a tie.
+    Rounding is monotone, so only a product that is a tie itself can hide the side of
+    the true one.  There the product's error is taken, from the value in two parts whose
+    products with a power of ten up to 10**6 are exact.
     """
-    scale, split = float(10**places), 134217729.0
-    scale_high = scale * split - (scale * split - scale)
-    scale_low = scale - scale_high
+    if not 0 <= places <= 6:
+        raise ValueError("places must be from 0 to 6")
+    scale = F.lit(float(10**places))
     value = value.cast("double")
     product = value * scale
-    down = F.floor(product)
-    above = product - down - 0.5
-    high = value * split - (value * split - value)
-    low = value - high
-    error = high * scale_high - product
-    error = error + low * scale_high if scale_low == 0 else error + high * scale_low + low * scale_high
-    error = error if scale_low == 0 else error + low * scale_low
-    exact = above + error
-    odd = down.bitwiseAND(F.lit(1)).cast("double")
-    step = F.when(F.abs(above) > 0.25, (above > 0).cast("double")).when(exact == 0, odd).otherwise((exact > 0).cast("double"))
-    return F.when(F.abs(value) < 1e9, (down + step) / scale).otherwise(value)
+    high = value.cast("float").cast("double")
+    error = (high * scale - product) + (value - high) * scale
+    near = F.rint(product)
+    side = F.when(F.abs(product - near) < 0.5, near).when(error == 0, near).otherwise(product + F.signum(error) * 0.5)
+    return F.when(F.abs(value) < 1e9, side / scale).otherwise(value)
 
 
 def positive_part(value: Column) -> Column:

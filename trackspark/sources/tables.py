@@ -131,7 +131,7 @@ def suppress_overlaps(detections: DataFrame, least_iou: float = 0.7) -> DataFram
 def detections_to_tracks(detections: DataFrame, fps: float) -> DataFrame:
     """Raw track rows of detector output (frame, track_id, class_id, class_name, confidence, box); boxes without a track go."""
     r3 = {c: round_exact(F.col(c), 3) for c in ("x1", "y1", "x2", "y2")}
-    middle, bottom = round_exact((F.col("x1") + F.col("x2")) / 2, 3), round_exact(F.col("y2"), 3)
+    middle = round_exact((F.col("x1") + F.col("x2")) / 2, 3)
     extra = [c for c in ("seq",) if c in detections.columns]
     return detections.filter("track_id IS NOT NULL").select(
         *extra,
@@ -145,7 +145,7 @@ def detections_to_tracks(detections: DataFrame, fps: float) -> DataFrame:
         middle.alias("center_x"),
         round_exact((F.col("y1") + F.col("y2")) / 2, 3).alias("center_y"),
         middle.alias("ground_x"),
-        bottom.alias("ground_y"),
+        r3["y2"].alias("ground_y"),
     )
 
 
