@@ -70,22 +70,3 @@ def heading(vx: Column, vy: Column) -> Column:
 def arc_between(start: Column, end: Column, fraction: Column) -> Column:
     """An angle on the shorter arc from start to end, not wrapped again."""
     return start + fraction * (F.pmod(end - start + 180.0, F.lit(360.0)) - 180.0)
-
-
-def gradient(value: str, at: str, window, n: Column, place: Column) -> Column:
-    """Second-order finite differences of value by at over an ordered window; one-sided at the ends, 0 for one row.
-
-    n is the number of rows of the window's partition and place the row's number in it, from 1.
-    """
-    f, x = F.col(value), F.col(at)
-    before = [(F.lag(value, k).over(window), F.lag(at, k).over(window)) for k in (1, 2)]
-    after = [(F.lead(value, k).over(window), F.lead(at, k).over(window)) for k in (1, 2)]
-    (fb, xb), (fb2, xb2) = before
-    (fa, xa), (fa2, xa2) = after
-    hs, hd = x - xb, xa - x
-    inside = (hs * hs * fa + (hd * hd - hs * hs) * f - hd * hd * fb) / (hs * hd * (hs + hd))
-    d1, d2 = xa - x, xa2 - xa
-    left = -(d1 * 2 + d2) / (d1 * (d1 + d2)) * f + (d1 + d2) / (d1 * d2) * fa - d1 / (d2 * (d1 + d2)) * fa2
-    e1, e2 = xb - xb2, x - xb
-    right = e2 / (e1 * (e1 + e2)) * fb2 - (e1 + e2) / (e1 * e2) * fb + (e2 * 2 + e1) / (e2 * (e1 + e2)) * f
-    return F.when(n == 1, F.lit(0.0)).when((n == 2) & (place == 1), (fa - f) / d1).when(n == 2, (f - fb) / hs).when(place == 1, left).when(place == n, right).otherwise(inside)

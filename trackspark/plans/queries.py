@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import lanes
 from ..functions.columns import heading
 from ..operators import appearance, density, evidence, geo, insights, metrics, motion, trajectory
 from ..schema import TELEMETRY_FIELDS
@@ -55,8 +56,8 @@ def class_consistency(s, d):
 
 
 def gap_segments(s, d):
-    rows = trajectory.latest_rows(fx.raw_tracks(s, d).repartition("track_id"))
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("track_id"))).filter(F.col("_n") >= 5)
+    rows = trajectory.latest_rows(fx.raw_tracks(s, d))
+    rows = lanes.on_lanes(rows, rows.groupBy("track_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5"))
     return trajectory.split_segments(rows, GAP, 5).groupBy("track_id", "segment_id").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.count(F.lit(1)).alias("rows"))
 
 
