@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import box_area
+from ..functions.quantiles import exact_quantiles
 from ..schema import require_columns
+from ..storage import written
 
 #: Fixed values of the data format: colour families in the order that ties fall to.
 COLORS = ("black", "white", "silver_gray", "red", "orange", "yellow", "green", "blue", "purple")
@@ -74,16 +76,18 @@ def color_vote(votes: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def relative_sizes(raw: DataFrame) -> DataFrame:
-    """Median box area of each track and a class by it: cars by thirds of all cars' medians, others by their class."""
+    """Median box area of each track and a class by it: cars by thirds of all cars' medians, which are computed at once, others by their class."""
     require_columns(raw, {"track_id", "class_name", "x1", "y1", "x2", "y2"}, "raw tracks")
     rows = raw.groupBy("track_id").agg(F.mode("class_name", True).alias("class_name"), F.percentile(box_area(), F.lit(0.5)).alias("median_box_area_px2"))
-    q = F.percentile("median_box_area_px2", F.array(F.lit(0.33), F.lit(0.5), F.lit(0.67)))
-    limits = rows.filter("class_name = 'car'").agg(F.count(F.lit(1)).alias("_cars"), q.alias("_q"))
-    limits = limits.select(F.when(F.col("_cars") >= 3, F.col("_q")[0]).otherwise(F.col("_q")[1]).alias("_low"), F.when(F.col("_cars") >= 3, F.col("_q")[2]).otherwise(F.col("_q")[1]).alias("_high"))
+    rows = written(rows, "sizes")
+    cars = rows.filter("class_name = 'car'")
+    q = exact_quantiles(cars, {str(p): ("median_box_area_px2", p) for p in (0.33, 0.5, 0.67)})
+    few = cars.limit(3).count() < 3
+    low, high = (F.lit(q["0.5" if few else k]).cast("double") for k in ("0.33", "0.67"))
     name, area = F.col("class_name"), F.col("median_box_area_px2")
     size = F.when(name == "motorcycle", "two_wheeler").when(name == "bus", "bus").when(name == "truck", "heavy_vehicle").when(name != "car", name)
-    size = size.when(area < F.col("_low"), "small_passenger_vehicle").when(area > F.col("_high"), "large_passenger_vehicle").otherwise("medium_passenger_vehicle")
-    return rows.crossJoin(F.broadcast(limits)).select("track_id", "class_name", "median_box_area_px2", size.alias("relative_size_class"), F.lit(SIZE_METHOD).alias("size_method"))
+    size = size.when(area < low, "small_passenger_vehicle").when(area > high, "large_passenger_vehicle").otherwise("medium_passenger_vehicle")
+    return rows.select("track_id", "class_name", "median_box_area_px2", size.alias("relative_size_class"), F.lit(SIZE_METHOD).alias("size_method"))
 
 
 def crop_window(x1: Column, y1: Column, x2: Column, y2: Column, width: int, height: int, inset: float = 0.22) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import positive_part
+from ..functions.quantiles import exact_quantiles
 from ..schema import positive_fps
+from ..storage import written
 from .metrics import class_consistency
 
 PLATE_SHARE, PLATE_PIXELS = 0.06, 12.0
@@ -80,17 +82,13 @@ def distributions(objects: DataFrame) -> DataFrame:
 
 
 def metric_summary(objects: DataFrame, quality: str) -> DataFrame:
-    """One row over reliable segments: medians and the plausibility of their speeds and accelerations."""
-
-    def q(c: str, p: float):
-        return F.percentile(c, F.lit(p))
+    """One row over reliable segments: medians and the plausibility of their speeds and accelerations, which are computed at once."""
 
+    columns = ("mean_speed_kmh", "p95_speed_kmh", "p95_acceleration_m_s2")
+    reliable = written(objects.filter("metric_kinematics_reliable").select("track_id", *columns), "reliable")
+    q = exact_quantiles(reliable, {f"median_{c}": (c, 0.5) for c in columns} | {"v": ("p95_speed_kmh", 0.99), "a": ("p95_acceleration_m_s2", 0.95)})
     status = "measured" if quality == "surveyed" else "estimated_from_camera_or_non_survey_calibration"
-    row = objects.filter("metric_kinematics_reliable").agg(
-        F.count_distinct("track_id").alias("metric_reliable_objects"),
-        *(F.round(q(c, 0.5), 3).alias(f"median_{c}") for c in ("mean_speed_kmh", "p95_speed_kmh", "p95_acceleration_m_s2")),
-        q("p95_speed_kmh", 0.99).alias("_v"),
-        q("p95_acceleration_m_s2", 0.95).alias("_a"),
-    )
-    pass_ = F.when((F.col("_v") < 80.0) & (F.col("_a") < 8.0), "pass").otherwise("review_required")
-    return row.select(F.lit(status).alias("metric_status"), F.lit(quality).alias("projection_quality"), *(c for c in row.columns if not c.startswith("_")), pass_.alias("plausibility_check"))
+    fair = q["v"] is not None and q["a"] is not None and q["v"] < 80.0 and q["a"] < 8.0
+    row = reliable.agg(F.count_distinct("track_id").alias("metric_reliable_objects"))
+    medians = [F.round(F.lit(q[f"median_{c}"]).cast("double"), 3).alias(f"median_{c}") for c in columns]
+    return row.select(F.lit(status).alias("metric_status"), F.lit(quality).alias("projection_quality"), "metric_reliable_objects", *medians, F.lit("pass" if fair else "review_required").alias("plausibility_check"))

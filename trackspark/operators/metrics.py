@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..schema import positive_fps, require_columns
 
 
@@ -57,16 +58,19 @@ def tracks_by_class(objects: DataFrame) -> DataFrame:
 
 
 def tracking_quality(objects: DataFrame, raw: DataFrame, fps: float) -> DataFrame:
-    """One row; without objects medians and ratios are 0."""
+    """One row; without objects medians and ratios are 0.  The medians are computed at once."""
     detections = raw.agg(F.count(F.lit(1)).alias("tracked_detections"))
 
+    medians = exact_quantiles(objects, {c: (c, 0.5) for c in ("duration_s", "observed_ratio", "class_consistency")})
+
     def median(c: str, places: int):
-        return F.round(F.coalesce(F.percentile(c, F.lit(0.5)), F.lit(0.0)), places)
+        return F.round(F.lit(medians[c] or 0.0), places)
 
-    row = objects.agg(
-        F.count_distinct("track_id").alias("unique_tracks"),
+    row = objects.agg(F.count_distinct("track_id").alias("unique_tracks"), F.round(F.coalesce(F.avg((F.col("duration_s") >= 2.0).cast("double")), F.lit(0.0)), 4).alias("long_track_ratio"))
+    row = row.select(
+        "unique_tracks",
         median("duration_s", 3).alias("median_track_duration_s"),
-        F.round(F.coalesce(F.avg((F.col("duration_s") >= 2.0).cast("double")), F.lit(0.0)), 4).alias("long_track_ratio"),
+        "long_track_ratio",
         median("observed_ratio", 4).alias("median_observed_ratio"),
         median("class_consistency", 4).alias("median_class_consistency"),
     )

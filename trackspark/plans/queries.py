@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +12,7 @@ from ..functions.columns import heading
 from ..operators import appearance, density, evidence, geo, insights, metrics, motion, trajectory
 from ..schema import TELEMETRY_FIELDS
 from ..sources import tables
+from ..storage import shared_dir
 from ..streaming import tracks as streams
 from . import fixtures as fx
 
@@ -101,8 +99,12 @@ def density_blur(s, d):
     return rounded(density.blur(density_histogram(s, d), fx.WIDTH, fx.HEIGHT))
 
 
+#: What the motion queries read of a trajectory; kinematics passes all that it gets through its kernels.
+PATH = ("track_id", "segment_id", "frame", "timestamp_s", "observed", "ground_x_smooth", "ground_y_smooth")
+
+
 def _motion2(s, d):
-    return motion.kinematics(_level2(s, d), KINEMATICS_WINDOW)
+    return motion.kinematics(_level2(s, d).select(*PATH), KINEMATICS_WINDOW)
 
 
 def savgol_smooth(s, d):
@@ -196,7 +198,7 @@ def missing_frames(s, d):
 
 
 def _metric2(s, d):
-    rows = _level2(s, d)
+    rows = _level2(s, d).select(*PATH)
     mx, my = geo.apply_homography(fx.matrix(), F.col("ground_x_smooth"), F.col("ground_y_smooth"))
     inside = geo.inside_polygon(geo.convex_hull(fx.REGION), F.col("ground_x_smooth"), F.col("ground_y_smooth"))
     return motion.kinematics(rows, KINEMATICS_WINDOW, rows.withColumns({"x_m": mx, "y_m": my, "inside": inside}), "surveyed")
@@ -301,15 +303,6 @@ def box_colours(s, d):
     return _colors(s, d).select("track_id", *(color[k].alias(c) for k, c in enumerate("bgr")))
 
 
-def _stream_dir(s: SparkSession) -> str:
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not s.sparkContext.master.startswith("local[") and s.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/trackspark-{uuid.uuid4().hex}"
-
-
 def _raw_stream(s: SparkSession, d: str, path: str) -> DataFrame:
     raw = fx.raw_tracks(s, d).select("track_id", "frame", "class_name")
     raw.write.parquet(f"{path}/in")
@@ -317,12 +310,12 @@ def _raw_stream(s: SparkSession, d: str, path: str) -> DataFrame:
 
 
 def session_segments_stream(s, d):
-    path = _stream_dir(s)
+    path = shared_dir(s)
     return streams.run_to_table(streams.session_segments(_raw_stream(s, d, path), FPS, GAP), path)
 
 
 def tumbling_counts_stream(s, d):
-    path = _stream_dir(s)
+    path = shared_dir(s)
     return streams.run_to_table(streams.tumbling_counts(_raw_stream(s, d, path), FPS), path)
 
 
