@@ -14,7 +14,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose language is determined; those without a letter go.  Profiles are learned from docs."""
     common.small_batches(spark)
     profiles = langid.learn(docs, "true")
-    own = {c: f"_own_{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    clashing = [c for c in docs.columns if c in ("lang_pred", "score")]
+    own = dict(zip(clashing, common.unused([*docs.columns, "lang_pred", "score"], *clashing)))
     found = langid.identify(docs.withColumnsRenamed(own), profiles, keep_text=True).filter(F.col("lang_pred") != langid.UNDETERMINED)
     return found.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
@@ -29,9 +30,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Rows whose text is without a copy, edited or not, of a benchmark item."""
     common.small_batches(spark)
     found = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = common.materialize(found.select(F.col("doc_id").alias("_gone"), F.col("version").alias("_version")).distinct(), "gone")
-    keyed = docs.withColumn("_version_of", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.col("_version_of") == F.col("_version"))
+    doc_id, version, version_of = common.unused(docs.columns, "gone", "version", "version_of")
+    gone = common.materialize(found.select(F.col("doc_id").alias(doc_id), F.col("version").alias(version)).distinct(), "gone")
+    keyed = docs.withColumn(version_of, F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id)) & (F.col(version_of) == F.col(version))
     return keyed.join(common.narrow(gone), same, "left_anti").select(*docs.columns)
 
 
