@@ -9,6 +9,10 @@ import corpus_pipeline
 from tests.llm.test_ops import TRICKY, brute_spans, check_pieces, prose, shingles, vocabulary
 
 
+#: Names that stages and operators use inside.
+CLASHING = ("found", "_rules", "_hit", "_version", "_gone", "_version_of", "kept", "gone", "gone_", "version", "version_of", "row", "wins", "lang_pred_", "digest", "Score_")
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     r, words = random.Random(2), vocabulary(2)
@@ -18,7 +22,7 @@ def docs(spark):
     # an id with two texts, rows that repeat, rows without an id
     rows += [(3, rows[7][1], "en"), (3, prose(r, words, 60), "en"), (110, prose(r, words, 60), "en"), (110, items[4][1], "en"), (None, prose(r, words, 60), "en"), (None, rows[9][1], "en"), (None, None, None), (111, prose(r, words, 30000), "en")]
     rows += [rows[5], rows[-4], rows[-2]]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("long"), "score": F.lit(7), "lang_pred": F.lit("own"), "_text": F.lit("own")})
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("long"), "score": F.lit(7), "lang_pred": F.lit("own"), "_text": F.lit("own"), **{c: F.lit(f"own {c}") for c in CLASHING}})
     return rows, items, frame
 
 
@@ -31,6 +35,7 @@ def test_stages(spark, docs, tmp_path):
 
     def texts(frame):
         assert frame.columns == docs[2].columns
+        assert frame.filter(" OR ".join(f"`{c}` IS DISTINCT FROM 'own {c}'" for c in CLASHING)).isEmpty()
         return sorted(((r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()), key=str)
 
     kept = sorted(((d, t) for d, t, _ in rows if t and any(c.isalpha() for c in t)), key=str)

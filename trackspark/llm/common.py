@@ -83,6 +83,18 @@ def narrow(df: DataFrame, rows: int | None = None, width: Column | int = ROW_BYT
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores after it as make it differ from all columns, in either case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_column(column: pa.Array) -> pa.Array:
     """Strings with nulls as empty texts, in one array with its offset removed."""
     return column.cast(pa.large_string()).fill_null("")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, materialize, mix, narrow, rolling, run_owner, text_column, words
+from .common import chunks, discard, materialize, mix, narrow, rolling, run_owner, text_column, unused, words, unused
 from .components import components
 
 SHINGLE = 5
@@ -169,19 +169,20 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", percen
     """docs with one row of each class of near duplicates: of its smallest id, and where rows repeat that id and text, the smallest.
 
     A class whose ids are all null keeps one row too.  Texts without a word are kept.
-    The columns of docs must be orderable.
+    The columns of docs must be orderable; their names may be any.
     """
     rows, named = _rows_and_winners(docs, text, key, percent, size, COORDINATES, BANDS)
     judged = rows.filter("n_shingles > 0").join(named, "digest").withColumn("wins", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("version") == F.col("component_version")))
     entities = judged.groupBy("doc_id", "version").agg(F.max("wins").alias("wins"), F.count(F.lit(1)).alias("n"))
-    marks = materialize(entities.filter("NOT wins OR n > 1").select(F.col("doc_id").alias("_gone"), F.col("version").alias("_version"), "wins"), "gone")
-    keyed = docs.withColumn("_version_of", F.xxhash64(F.col(text)))
-    same = F.col(key).cast("long").eqNullSafe(F.col("_gone")) & (F.col("_version_of") == F.col("_version"))
-    out = keyed.join(narrow(marks.drop("wins")), same, "left_anti").drop("_version_of")
+    gone, version, version_of = unused(docs.columns, "gone", "version", "version_of")
+    marks = materialize(entities.filter("NOT wins OR n > 1").select(F.col("doc_id").alias(gone), F.col("version").alias(version), "wins"), "gone")
+    keyed = docs.withColumn(version_of, F.xxhash64(F.col(text)))
+    same = F.col(key).cast("long").eqNullSafe(F.col(gone)) & (F.col(version_of) == F.col(version))
+    out = keyed.join(narrow(marks.drop("wins")), same, "left_anti").drop(version_of)
     repeated = marks.filter("wins").drop("wins")
     if repeated.isEmpty():
         return out
-    again = keyed.join(narrow(repeated), same).groupBy("_gone", "_version").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    again = keyed.join(narrow(repeated), same).groupBy(gone, version).agg(F.min(F.struct(*docs.columns)).alias("row"))
     return out.unionAll(again.select("row.*"))
 
 

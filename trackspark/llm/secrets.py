@@ -251,13 +251,13 @@ def _joined(spans: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
-    """doc_id, text (null: empty), the columns keep, and found: the spans of all rules, of every row.
+    """doc_id, text (null: empty), kept (the columns keep in a struct, whatever their names), and found: the spans of all rules, of every row.
 
     Candidates come from the trigram index; repeated ids share their postings, which
     can only add candidates.  A null id has postings of its own.
     """
     trigrams = vocabulary(rules)
-    base = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *keep)
+    base = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), _packed(keep))
     hits = materialize(candidates(postings(base, rules, trigrams), rules, trigrams), "candidates")
     hits = hits.select(F.col("doc_id").alias("_hit"), F.col("rules").alias("_rules"))
     rows = base.join(narrow(hits), F.col("doc_id").eqNullSafe(F.col("_hit")), "left")
@@ -267,7 +267,11 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", rules
         wanted = F.col("_rules").bitwiseAND(F.lit(1 << i).cast("long")) != 0 if trigram_query(rule.pattern) else F.lit(True)
         wanted = wanted & F.col("text").rlike(rule.scan or rule.pattern)
         parts.append(F.when(wanted, matches(F.col("text"), rule, i)).otherwise(empty))
-    return rows.select("doc_id", "text", *keep, F.concat(*parts).alias("found"))
+    return rows.select("doc_id", "text", "kept", F.concat(*parts).alias("found"))
+
+
+def _packed(keep: tuple[str, ...] | list[str]) -> Column:
+    return (F.struct(*keep) if keep else F.lit(None).cast("boolean")).alias("kept")
 
 
 def report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -291,4 +295,4 @@ def redact(docs: DataFrame, text: str = "text", key: str = "doc_id", mark: str =
         return F.struct(F.greatest(at, s["end"]).alias("at"), F.when(s["start"] >= at, F.concat(gap, F.lit(mark))).alias("out"))
 
     done = _let(_fold(F.array_sort("found"), step, "string"), lambda s: F.concat(F.array_join(s["out"], ""), F.col("text").substr(s["at"] + 1, F.length("text"))))
-    return found.select("doc_id", *keep, F.when(F.size("found") > 0, done).otherwise(F.col("text")).alias("text"))
+    return found.select("doc_id", *(["kept.*"] if keep else []), F.when(F.size("found") > 0, done).otherwise(F.col("text")).alias("text"))
