@@ -42,3 +42,9 @@ def test_query(spark, db, name):
     assert sorted(names) == columns
     expected = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in got.fetchall()), key=key)
     assert rows == expected
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_the_tracker_gives_the_same_ids_on_a_stream(spark):
+    batch, stream = (sorted(map(tuple, queries.QUERIES[n](spark, DATA).select("clip", "seq", "frame", "track_id").collect()), key=str) for n in ("tracked_boxes", "tracked_boxes_stream"))
+    assert batch == stream and len({r[3] for r in batch}) > 3

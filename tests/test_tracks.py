@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import struct
 import zlib
 
@@ -15,7 +16,7 @@ from trackspark.config import Level1Config, Level2Config
 from trackspark.operators import appearance, density, evidence, geo, insights, metrics, motion, trajectory
 from trackspark.functions.columns import finite, round_exact
 from trackspark.plans import pipeline
-from trackspark.sources import sinks, tables, video
+from trackspark.sources import report, sinks, tables, video
 from trackspark.sources.video import VideoProperties
 from trackspark.streaming import tracks as streams
 
@@ -338,7 +339,7 @@ def test_video_frames_crops_and_detection(spark, tmp_path):
     grey = np.frombuffer(one[0].bgr, np.uint8).reshape(24, 32, 3)
     assert len(one) == 1 and (grey[0, 0] == round((40 + 77 - 16) * 1.164383)).all() and (grey[10, 15] > 230).all()
     boxes = spark.createDataFrame([(5, 77, 0.9, 4.0 + 77 % 8, 4.0, 24.0 + 77 % 8, 20.0), (6, 400, 0.9, 0.0, 0.0, 20.0, 20.0), (7, 3, 0.9, 0.0, 0.0, 3.0, 3.0)], "track_id long, frame long, confidence double, x1 double, y1 double, x2 double, y2 double")
-    pixels = video.crop_pixels(boxes, frames)
+    pixels = video.crop_pixels(boxes, path)
     votes = appearance.pixel_vote(pixels, "track_id", "frame").collect()
     assert [(r.track_id, r.color, r.confidence) for r in votes] == [(5, "white", 1.0)]
 
@@ -401,12 +402,18 @@ def test_command_line_runs_both_levels(spark, tmp_path, capsys):
     assert [(r.frame, r.track_id) for r in kept.collect()] == sorted((r.frame, r.track_id) for r in kept.collect())
     meta = json.loads((tmp_path / "one/run_metadata.json").read_text())
     assert meta["tracked_detections"] == 70 and meta["config"]["fps"] == 10.0 and decoded((tmp_path / "one/density_heatmap.png").read_bytes()).max() > 0
+    page = (tmp_path / "one/report.html").read_text()
+    assert "http" not in page and page.count("<polyline") == 2 and ">truck</text>" in page and "<td>3-0</td><td>car</td><td>4.00</td>" in page
     (tmp_path / "c.json").write_text(json.dumps({"reference": "lane marks", "quality": "surveyed", "image_points_px": [[0, 0], [640, 0], [640, 480], [0, 480]], "world_points_m": [[0, 0], [64, 0], [64, 48], [0, 48]]}))
     two = cli.main(["level2", *common, "--output", str(tmp_path / "two"), "--calibration", str(tmp_path / "c.json"), "--classes", "2,7"], spark)
     assert two["unique_tracks"] == 2 and two["metric"]["metric_status"] == "measured" and two["distributions"]["color"] == {"unknown": 2}
     report = json.loads((tmp_path / "two/metric_projection_report.json").read_text())
     assert report["quality"] == "surveyed" and report["max_reprojection_error_m"] < 1e-6
-    rows = tables.read_insights(spark, str(tmp_path / "two/level2_object_insights.csv")).orderBy("track_id").collect()
+    page = (tmp_path / "two/report.html").read_text()
+    assert page.count("<polyline") == 2 and ">measured</b>" in page and ">heavy_vehicle</text>" in page
+    table = tables.read_insights(spark, str(tmp_path / "two/level2_object_insights.csv"))
+    assert dict(table.dtypes)["mean_speed_m_s"] == "double" and dict(table.dtypes)["segment_id"] == "string"
+    rows = table.orderBy("track_id").collect()
     assert [r.mean_speed_m_s for r in rows] == [pytest.approx(4.0, rel=0.05), pytest.approx(2.0, rel=0.05)]
     plain = cli.main(["level2", *common, "--output", str(tmp_path / "three")], spark)
     assert plain["metric"] == {"metric_status": "unavailable"} and not (tmp_path / "three/metric_projection_report.json").exists()
@@ -416,6 +423,35 @@ def test_command_line_runs_both_levels(spark, tmp_path, capsys):
         cli.main(["level2", *common, "--output", "x", "--calibration", "a", "--telemetry", "b"], spark)
 
 
+def test_a_failed_run_leaves_the_earlier_one(spark, tmp_path):
+    out = str(tmp_path / "out")
+    with sinks.published(spark, out) as staged:
+        sinks.write_json(spark, f"{staged}/a.json", {"a": 1, "when": np.datetime64("2024-01-01")})
+        assert not os.path.exists(out)
+    with pytest.raises(RuntimeError, match="broken"):
+        with sinks.published(spark, out) as staged:
+            sinks.write_json(spark, f"{staged}/a.json", {"a": 2})
+            raise RuntimeError("broken")
+    assert json.loads((tmp_path / "out/a.json").read_text()) == {"a": 1, "when": "2024-01-01"}
+    os.rename(out, f"{out}.before")  # a process that ended between the two renames
+    with pytest.raises(RuntimeError):
+        with sinks.published(spark, out):
+            raise RuntimeError("again")
+    assert json.loads((tmp_path / "out/a.json").read_text())["a"] == 1
+    with sinks.published(spark, out) as staged:
+        sinks.write_json(spark, f"{staged}/b.json", {"b": 3})
+    assert [f for f in sorted(os.listdir(out)) if not f.startswith(".")] == ["b.json"] and os.listdir(tmp_path) == ["out"]
+
+
+def test_series_are_bounded(spark):
+    rows = spark.range(5000).selectExpr("id AS x", "id * 2.0D AS y", "CAST(id % 30 AS string) AS k")
+    made = report.series(rows, "x", "y", "k", 50)
+    assert len(made) == report.BARS and all(len(v) <= 50 for v in made.values())
+    assert all(abs(v - 2 * x) < 250 for line in made.values() for x, v in line)
+    assert report.series(rows.limit(0), "x", "y", "k") == {} and "<svg" in report.line_chart("none", {})
+    assert "&lt;b&gt;" in report.cards({"<b>": None}) and "&lt;i&gt;" in report.bar_chart("t", {"<i>": 2.0})
+
+
 def test_colours_of_boxes_and_tracks(spark):
     frame = spark.createDataFrame([(1, "red"), (2, "unknown"), (3, None)], "track_id long, color string")
     got = frame.select("track_id", evidence.box_color(F.col("color")).alias("box"), evidence.track_color(F.col("track_id")).alias("track")).orderBy("track_id").collect()

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .config import Level1Config, Level2Config
-from .operators import appearance
+from .operators import appearance, evidence
 from .sources import sinks, tables, video
 
 
@@ -30,6 +30,7 @@ def _parser() -> argparse.ArgumentParser:
         sub.add_argument("--confidence", type=float, default=0.0)
         sub.add_argument("--stride", type=int, default=1)
         sub.add_argument("--max-seconds", type=float)
+        sub.add_argument("--draw", action="store_true", help="write the annotated video (raw) of level 1")
     sub.add_argument("--calibration", help="JSON file of control points")
     sub.add_argument("--telemetry", help="telemetry text of the clip")
     sub.add_argument("--segment", type=int)
@@ -57,9 +58,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> di
     details: dict[str, object] = {"tracks": got.tracks, "video": got.video, "source_frames": seen.frames if seen else None}
     if got.command == "level1":
         summary = sinks.write_level1(raw, Level1Config(fps, got.min_track_seconds, frame_width=width, frame_height=height), got.output, details)
+        if got.draw and seen:
+            plan = evidence.annotation_plan(raw, every=got.stride)
+            video.write_video(video.draw_plan(plan, got.video, got.stride, seen.frames_within(got.max_seconds)), f"{got.output}/annotated_tracking.y4m", video.output_fps(fps, got.stride), overwrite=True)
     else:
         if seen:
-            pixels = video.crop_pixels(appearance.sample_rows(raw), video.read_frames(spark, got.video))
+            pixels = video.crop_pixels(appearance.sample_rows(raw), got.video)
             votes = appearance.pixel_vote(pixels, "track_id", "frame")
         else:
             votes = raw.select("track_id", "frame", F.lit("unknown").alias("color"), F.lit(0.0).alias("confidence")).limit(0)

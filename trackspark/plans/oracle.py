@@ -288,6 +288,9 @@ CTES["crop_sizes"] = "SELECT DISTINCT x2 - x1 AS w, y2 - y1 AS h FROM crops"
 CTES["crop_cells"] = "SELECT w, h, x, unnest(range(h)) AS y FROM (SELECT w, h, unnest(range(w)) AS x FROM crop_sizes)"
 
 ORACLE_SQL: dict[str, str] = {
+    "counted_seconds_stream": _plain("SELECT CAST(frame // 10 AS BIGINT) AS second, class_name, count(DISTINCT track_id) AS visible_objects FROM raw GROUP BY ALL"),
+    "ordered_trails_stream": _plain("SELECT frame, track_id, seq, CAST(count(*) OVER w AS INTEGER) AS points, CAST(sum(floor(ground_x) + floor(ground_y)) OVER w AS BIGINT) AS sum_xy FROM raw WINDOW w AS (PARTITION BY track_id ORDER BY frame, seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"),
+    "first_appearance": _plain("SELECT track_id, row_number() OVER (ORDER BY first, track_id) AS place FROM (SELECT track_id, min({'frame': frame, 'seq': seq}) AS first FROM raw GROUP BY track_id)"),
     "stable_tracks": _plain("SELECT track_id, segment_id FROM longest_i WHERE round(duration_s, 9) >= 2 AND raw_class_consistency >= 0.3 AND color_confidence >= 0.3 AND displacement_px >= 12"),
     "label_packing": _packing_sql(fx.WIDTH // 2, fx.HEIGHT // 2),
     "suppressed_boxes": _suppression_sql(0.2),

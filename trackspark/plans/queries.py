@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import lanes
 from ..functions.columns import heading
-from ..operators import appearance, density, evidence, geo, insights, metrics, motion, trajectory
+from ..operators import appearance, association, density, evidence, geo, insights, metrics, motion, order, trajectory
 from ..schema import TELEMETRY_FIELDS
 from ..sources import tables
 from ..storage import shared_dir
+from ..streaming import state
+from ..streaming import tracker as track_streams
 from ..streaming import tracks as streams
 from . import fixtures as fx
 
@@ -319,10 +321,58 @@ def tumbling_counts_stream(s, d):
     return streams.run_to_table(streams.tumbling_counts(_raw_stream(s, d, path), FPS), path)
 
 
+def _boxes(s, d):
+    """The boxes of events without their track ids, as those of a few clips."""
+    clip = F.concat(F.lit("clip"), (F.col("track_id") % 12).cast("string")).alias("clip")
+    return fx.detections(s, d).select(clip, *[c for c in fx.detections(s, d).columns if c != "track_id"])
+
+
+def tracked_boxes(s, d):
+    return association.track_boxes(_boxes(s, d), association.TrackerSettings(match_thresh=0.95)).select("clip", "frame", "seq", "track_id")
+
+
+def tracked_boxes_stream(s, d):
+    """The same ids from a stream that is stopped and goes on, with rows out of order; ends are told by rows with a frame only."""
+    rows, path = _boxes(s, d), shared_dir(s)
+    after = (F.col("frame") >= 180) | ((F.col("frame") >= 174) & (F.col("seq") % 7 == 3))
+    ends = rows.select("clip").distinct().select("clip", F.lit(100_000).cast("long").alias("frame"))
+    for part in (rows.filter(~after), rows.filter(after), s.createDataFrame([], rows.schema).unionByName(ends, allowMissingColumns=True)):
+        part.write.mode("append").parquet(f"{path}/in")
+        source = s.readStream.schema(rows.schema).parquet(f"{path}/in")
+        state.run_appended(track_streams.track_stream(source, FPS, association.TrackerSettings(match_thresh=0.95)), path)
+    return s.read.parquet(f"{path}/table").select("clip", "frame", "seq", "track_id")
+
+
+def _in_two_runs(s, rows, make) -> DataFrame:
+    """The output of a stream over rows that is stopped halfway, with late rows; a last row far ahead moves the watermark on."""
+    path = shared_dir(s)
+    after = (F.col("frame") >= 180) | ((F.col("frame") >= 120) & (F.col("frame") % 7 == 3))
+    end = s.createDataFrame([], rows.schema).unionByName(s.range(1).select(F.lit(100_000).cast("long").alias("frame"), F.lit(-1).cast("long").alias("track_id")), allowMissingColumns=True)
+    for part in (rows.filter(~after), rows.filter(after), end):
+        part.write.mode("append").parquet(f"{path}/in")
+        state.run_appended(make(s.readStream.schema(rows.schema).parquet(f"{path}/in")), path)
+    return s.read.parquet(f"{path}/table")
+
+
+def counted_seconds_stream(s, d):
+    return _in_two_runs(s, fx.raw_tracks(s, d).select("track_id", "frame", "class_name"), lambda r: state.counted_seconds(r, FPS))
+
+
+def ordered_trails_stream(s, d):
+    rows = fx.raw_tracks(s, d).select("track_id", "frame", "seq", F.floor("ground_x").cast("int").alias("trail_x"), F.floor("ground_y").cast("int").alias("trail_y"))
+    made = _in_two_runs(s, rows, lambda r: state.ordered_trails(r, FPS, 20))
+    return made.select("frame", "track_id", "seq", F.size("trail").alias("points"), F.aggregate("trail", F.lit(0).cast("long"), lambda a, p: a + p["x"] + p["y"]).alias("sum_xy"))
+
+
+def first_appearance(s, d):
+    return order.first_appearance(fx.raw_tracks(s, d), "track_id", "frame", "seq")
+
+
 _ALL = (
     raw_tracks_projection, stride_time_class_filter, dedupe_keep_last, track_mode_class, class_consistency, gap_segments, dense_interpolated, rolling_median_smooth, pixel_motion, object_metrics, timeseries_counts,
     tracking_quality, tracks_by_class, density_histogram, density_blur, savgol_smooth, gradient_velocity, heading_px, class_statistics, relative_size, colour_samples, hsv_family, pixel_vote, track_colour_vote,
     homography_project, inside_hull, telemetry_segments, srt_parse, telemetry_dense, telemetry_project, telemetry_report, missing_frames, metric_kinematics, object_insights, object_insights_metric,
     level2_distributions, metric_summary, longest_segment, top_segments_profile, evidence_topk, evidence_trails, label_text, label_overlap_pairs, label_packing, session_segments_stream, tumbling_counts_stream, stable_tracks, suppressed_boxes, crop_windows, ellipse_pixels, missing_frames_offset, annotation_plan, box_colours,
+    tracked_boxes, tracked_boxes_stream, counted_seconds_stream, ordered_trails_stream, first_appearance,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict
 
 import numpy as np
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 from ..config import Level1Config, Level2Config
 from ..operators import density, evidence
 from ..plans import pipeline
+from . import report as pages
 
 #: Columns that order a table in its file, as far as it has them.
 ORDER = ("frame", "second", "track_id", "segment_id", "class_name")
@@ -124,12 +128,45 @@ def grid_picture(lines: DataFrame, width: int, height: int, frame: np.ndarray |
 # runs
 
 
+@contextmanager
+def published(spark: SparkSession, folder: str) -> Iterator[str]:
+    """A folder beside the given one to write a run to; when the run is done, it takes the place of the earlier one.
+
+    A run that fails leaves the earlier one as it was, and nothing else.  The exchange is
+    two renames; should a process end between them, the next run puts the earlier one back first.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path  # type: ignore[union-attr]
+    target, before, staged = path(folder), path(f"{folder.rstrip('/')}.before"), path(f"{folder.rstrip('/')}.run-{uuid.uuid4().hex}")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(before):
+        if files.exists(target):
+            files.delete(before, True)
+        else:
+            files.rename(before, target)
+    try:
+        files.mkdirs(staged)
+        yield staged.toString()
+        if files.exists(target):
+            files.rename(target, before)
+        if not files.rename(staged, target):
+            raise OSError(f"{folder} could not be published")
+        files.delete(before, True)
+    except BaseException:
+        files.delete(staged, True)
+        raise
+
+
 def _keep(folder: str):
     return lambda df, name: write_table(df, folder, name)
 
 
 def write_level1(raw: DataFrame, config: Level1Config, folder: str, details: dict[str, object] | None = None) -> dict[str, object]:
-    """Run level 1 and write all its outputs; each table is computed once and read back by those that follow."""
+    """Run level 1, write all its outputs and publish them together; each table is computed once and read back by those that follow."""
+    with published(raw.sparkSession, folder) as staged:
+        return _write_level1(raw, config, staged, details)
+
+
+def _write_level1(raw: DataFrame, config: Level1Config, folder: str, details: dict[str, object] | None) -> dict[str, object]:
     spark = raw.sparkSession
     counted = counters(raw)
     write_json(spark, f"{folder}/run_metadata.json", {"source_fps": config.fps, "frame_width": config.frame_width, "frame_height": config.frame_height, **counted, "config": asdict(config), **(details or {})})
@@ -143,11 +180,17 @@ def write_level1(raw: DataFrame, config: Level1Config, folder: str, details: dic
         "outputs": {name: f"{name}.csv" for name in ("trajectories", "trajectory_motion", "object_metrics", "timeseries_counts", "annotation_plan")} | {"density_heatmap": "density_heatmap.png"},
     }
     write_json(spark, f"{folder}/summary.json", summary)
+    write_bytes(spark, f"{folder}/report.html", pages.level1_page(tables, summary).encode())
     return summary
 
 
 def write_level2(raw: DataFrame, config: Level2Config, votes: DataFrame, folder: str, details: dict[str, object] | None = None, **projection) -> dict[str, object]:
-    """Run level 2 and write all its outputs; the projection's report only where there is one."""
+    """Run level 2, write all its outputs and publish them together; the projection's report only where there is one."""
+    with published(raw.sparkSession, folder) as staged:
+        return _write_level2(raw, config, votes, staged, details, **projection)
+
+
+def _write_level2(raw: DataFrame, config: Level2Config, votes: DataFrame, folder: str, details: dict[str, object] | None, **projection) -> dict[str, object]:
     spark = raw.sparkSession
     tables = pipeline.level2(raw, config, votes, keep=_keep(folder), **projection)
     write_bytes(spark, f"{folder}/level2_speed_profiles.png", speed_picture(tables["speed_profiles"]))
@@ -160,5 +203,6 @@ def write_level2(raw: DataFrame, config: Level2Config, votes: DataFrame, folder:
     metric = tables["metric_summary"].first().asDict() if "metric_summary" in tables else {"metric_status": "unavailable"}
     summary: dict[str, object] = {"unique_tracks": raw.select("track_id").distinct().count(), "segments": tables["level2_object_insights"].count(), "distributions": found, "metric": metric}
     write_json(spark, f"{folder}/level2_summary.json", summary)
+    write_bytes(spark, f"{folder}/report.html", pages.level2_page(tables, summary).encode())
     write_json(spark, f"{folder}/level2_run_metadata.json", {"source_fps": config.fps, "frame_width": config.frame_width, "frame_height": config.frame_height, "config": asdict(config), **(details or {})})
     return summary

@@ -7,99 +7,56 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 from ..operators.association import BOXES, Tracker, TrackerSettings, numbered
 from ..schema import require_columns
-from .tracks import with_event_time
+from .state import OrderedProcessor, timed
 
 ROW = "frame long, seq long, class_id int, class_name string, confidence double, x1 double, y1 double, x2 double, y2 double"
 _COLUMNS = [c.split()[0] for c in ROW.split(", ")]
-#: Event time of frame 0; a stream's first watermark is the epoch, and rows of that very time would be late.
-START_MS = 1000
 OUT = f"clip string, {ROW}, track_id long"
 
 
-class _ClipTracker(StatefulProcessor):
-    """Rows wait until the watermark has passed their frame, then the clip's tracker takes the frames in order.
+class _ClipTracker(OrderedProcessor):
+    """State of a clip: its waiting rows, its tracks (live, fresh and lost within the buffer, so bounded), step and last number."""
 
-    State of a clip: its waiting rows, its tracks (live, fresh and lost within the
-    buffer, so bounded), and step, last number and last frame.
-    """
+    ROW = ROW
 
-    def __init__(self, settings: TrackerSettings, fps: float):
-        self.settings, self.fps = settings, fps
+    def __init__(self, fps: float, settings: TrackerSettings):
+        super().__init__(fps)
+        self.settings = settings
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", ROW)
+        super().init(handle)
         self.tracks = handle.getListState("tracks", "head array<long>, filter array<double>")
-        self.clock = handle.getValueState("clock", "step long, given long, frame long")
-
-    def _millis(self, frame: int) -> int:
-        return int(frame * 1000.0 / self.fps) + START_MS
+        self.clock = handle.getValueState("clock", "step long, given long")
 
-    def _run(self, clip: str, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        """Give the clip's tracker the frames of rows and keep it."""
-        if not len(rows):
-            return
-        step, given, _ = self.clock.get() if self.clock.exists() else (0, 0, -1)
+    def take(self, key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        step, given = self.clock.get() if self.clock.exists() else (0, 0)
         held = list(self.tracks.get()) if self.tracks.exists() else []
         heads = np.array([t[0] for t in held], np.int64).reshape(-1, 4)
         tracker = Tracker(self.settings, step, given, heads, np.array([t[1] for t in held], float).reshape(-1, 4, 5))
-        ordered = rows.sort_values(["frame", "seq"], kind="stable")
-        for _, frame in ordered.groupby("frame", sort=False):
-            yield numbered(tracker, frame).assign(clip=clip)[["clip", *_COLUMNS, "track_id"]]
-        self.clock.update((tracker.step, tracker.given, int(ordered["frame"].iloc[-1])))
+        for _, frame in rows.groupby("frame", sort=False):
+            yield numbered(tracker, frame).assign(clip=key[0])[["clip", *_COLUMNS, "track_id"]]
+        self.clock.update((tracker.step, tracker.given))
         if len(tracker.heads):
             self.tracks.put([(h.tolist(), f.ravel().tolist()) for h, f in zip(tracker.heads, tracker.filters)])
         else:
             self.tracks.clear()
 
-    def _advance(self, clip: str, rows: pd.DataFrame, until: int | None) -> Iterator[pd.DataFrame]:
-        """Run the frames whose time is up (all, if until is None) and wait for the others."""
-        ready = rows["frame"].map(self._millis) < until if until is not None else pd.Series(True, rows.index)
-        yield from self._run(clip, rows[ready])
-        rest = rows[~ready]
-        if len(rest):
-            self.waiting.put(list(rest.itertuples(index=False, name=None)))
-            self.handle.registerTimer(self._millis(int(rest["frame"].min())))
-        else:
-            self.waiting.clear()
-
-    def _held(self) -> pd.DataFrame:
-        return pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=_COLUMNS)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        clip = key[0]
-        new = pd.concat(list(rows), ignore_index=True)
-        last = self.clock.get()[2] if self.clock.exists() else -1
-        late = new[new["frame"] <= last]
-        if len(late):  # its frame is done: a box without a track
-            yield late.assign(clip=clip, track_id=pd.array([None] * len(late), "Int64"))[["clip", *_COLUMNS, "track_id"]]
-        new = new[new["frame"] > last]
-        closed = new["x1"].isna() & new["confidence"].isna()
-        waiting = pd.concat([f for f in (self._held(), new[~closed][_COLUMNS]) if len(f)] or [new[_COLUMNS].iloc[:0]], ignore_index=True)
-        yield from self._advance(clip, waiting, None if closed.any() else timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key[0], self._held(), timerValues.getCurrentWatermarkInMs() + 1)
-
-    def close(self) -> None:
-        pass
+    def refuse(self, key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        yield rows.assign(clip=key[0], track_id=pd.array([None] * len(rows), "Int64"))[["clip", *_COLUMNS, "track_id"]]
 
 
 def track_stream(detections: DataFrame, fps: float, settings: TrackerSettings = TrackerSettings(), late: str = "1 second") -> DataFrame:
     """Rows (clip, frame, seq, class_id, class_name, confidence, box) of a stream with the track_id that track_boxes gives.
 
     Rows may come in any order within late; what comes later is dropped, or after the clip's
-    end given without a track.  A
-    row of a clip with a frame above all others but no confidence and box says that the clip
-    is over and lets its last frames out.  Needs the RocksDB state store; ids go on
-    after a restart.
+    end given without a track.  A row of a clip with nothing but a frame above all others
+    says that the clip is over and lets its last frames out.  Needs the RocksDB state
+    store (see state.keyed_store); ids go on after a restart.
     """
     require_columns(detections, {"clip", *_COLUMNS, *BOXES}, "detections")
-    later = F.col("event_time") + F.expr(f"INTERVAL {START_MS} MILLISECONDS")
-    timed = with_event_time(detections, fps).withColumn("event_time", later).withWatermark("event_time", late)
-    return timed.select("clip", *_COLUMNS, "event_time").groupBy("clip").transformWithStateInPandas(_ClipTracker(settings, fps), OUT, "append", "eventTime")
+    keyed = timed(detections, fps, late).select("clip", *_COLUMNS, "event_time").groupBy("clip")
+    return keyed.transformWithStateInPandas(_ClipTracker(fps, settings), OUT, "append", "eventTime")
