@@ -104,37 +104,45 @@ def split_segments(rows: DataFrame, max_gap: int, least: int, lane_frames: int =
     return _numbered(dealt, _lanes(dealt, max_gap, []), least).select(*columns, "segment_id")
 
 
-def _densify(rows: DataFrame, fps: float) -> DataFrame:
-    """A row for every frame of a segment; observed tells real rows, whose columns the others lack."""
-    following = F.coalesce(F.lead("frame").over(_run().orderBy("frame")), F.when(F.col("_part") == F.col("_parts"), F.col("_after")))
-    keys = ("track_id", "segment_id", "class_id", "class_name")
-    rows = rows.withColumn("_to", F.coalesce(following - 1, F.col("frame")))
-    rows = rows.withColumn("_frame", F.explode(F.sequence("frame", "_to")))
-    real = F.col("_frame") == F.col("frame")
-    values = {c: F.when(real, F.col(c)) for c in rows.columns if c not in (*keys, "frame", "timestamp_s") and not c.startswith("_")}
-    rows = rows.withColumns({**values, "observed": real}).withColumn("frame", F.col("_frame"))
-    return rows.withColumn("timestamp_s", F.col("frame").cast("double") / F.lit(float(fps))).drop("_to", "_frame")
+def _neighbours(rows: DataFrame, names: list[str]) -> DataFrame:
+    """For each of names the last known value up to a row (_a_) and the first one after it (_b_) in its segment, with their frames.
 
-
-def _interpolate(rows: DataFrame, limit: int, names: list[str]) -> DataFrame:
-    """Missing values between neighbours on a line, and beyond the first and last as those, up to limit frames from a value."""
+    Taken over real rows, before the frames between them are put in.
+    """
     up = _run().orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    down = _run().orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, 0)
+    down = _run().orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, -1)
     first, last = F.col("_part") == 0, F.col("_part") == F.col("_parts")
 
     def near(c: str, window, end: Column, beyond: str) -> Column:
         return F.coalesce(F.last(F.when(F.col(c).isNotNull(), _known(c)), True).over(window), F.when(end, F.col(beyond)))
 
     rows = rows.withColumns({f"_b_{c}": near(c, down, last, f"_next_{c}") for c in names})
-    rows = rows.withColumns({f"_a_{c}": near(c, up, first, f"_prev_{c}") for c in names})
-    filled = {}
-    for c in names:
+    return rows.withColumns({f"_a_{c}": near(c, up, first, f"_prev_{c}") for c in names})
+
+
+def _densify(rows: DataFrame, fps: float, limit: int, names: list[str]) -> DataFrame:
+    """A row for every frame of a segment; observed tells real rows, whose columns the others lack.
+
+    Of names, values that are missing lie on a line between their neighbours, and beyond
+    the first and last are those, up to limit frames from a value.
+    """
+    following = F.coalesce(F.lead("frame").over(_run().orderBy("frame")), F.when(F.col("_part") == F.col("_parts"), F.col("_after")))
+    keys = ("track_id", "segment_id", "class_id", "class_name")
+    rows = rows.withColumn("_to", F.coalesce(following - 1, F.col("frame")))
+    rows = rows.withColumn("_frame", F.explode(F.sequence("frame", "_to")))
+    frame, real = F.col("_frame"), F.col("_frame") == F.col("frame")
+
+    def filled(c: str) -> Column:
         prev, after = F.col(f"_a_{c}"), F.col(f"_b_{c}")
-        back, ahead = F.col("frame") - prev["f"], after["f"] - F.col("frame")
+        back, ahead = frame - prev["f"], after["f"] - frame
         line = prev["v"] + (after["v"] - prev["v"]) * (back / (back + ahead))
         value = F.when(prev.isNull(), F.when(ahead <= limit, after["v"])).when(after.isNull(), F.when(back <= limit, prev["v"])).when((back <= limit) | (ahead <= limit), line)
-        filled[c] = F.when(F.col(c).isNotNull(), F.col(c)).otherwise(value)
-    return rows.withColumns(filled)
+        return F.when(real & F.col(c).isNotNull(), F.col(c)).otherwise(value)
+
+    values = {c: filled(c) if c in names else F.when(real, F.col(c)) for c in rows.columns if c not in (*keys, "frame", "timestamp_s") and not c.startswith("_")}
+    rows = rows.withColumns({**values, "observed": real}).withColumn("frame", frame)
+    rows = rows.withColumn("timestamp_s", F.col("frame").cast("double") / F.lit(float(fps)))
+    return rows.drop(*(c for c in rows.columns if c.startswith("_")))
 
 
 def rolling_median(rows: DataFrame, columns: dict[str, str], window: int) -> DataFrame:
@@ -167,6 +175,5 @@ def clean(raw: DataFrame, fps: float, min_seconds: float = 0.5, max_gap: int = 1
     rows = latest_rows(raw.withColumn("_lane", lane_of(F.col("frame"), lane_frames)).repartition("track_id", "_lane"), "_lane")
     parts = _parts(rows, max_gap)
     lanes = _lanes(parts, max_gap, names).filter(F.col("_n") >= least).join(modal_classes(rows), "track_id")
-    rows = _interpolate(_densify(_numbered(parts.drop("class_id", "class_name"), lanes, least), fps), max_gap, names)
-    rows = rows.drop(*(c for c in rows.columns if c.startswith("_")))
+    rows = _densify(_neighbours(_numbered(parts.drop("class_id", "class_name"), lanes, least), names), fps, max_gap, names)
     return in_lanes(rows, window, lambda r: rolling_median(r, {"ground_x_smooth": "ground_x", "ground_y_smooth": "ground_y"}, window), lane_frames)
