@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 
-from ..operators import appearance, density, evidence, geo, insights
-from ..schema import INTERPOLATED, TELEMETRY_FIELDS
 from . import fixtures as fx
-from .queries import KINEMATICS_WINDOW
 
-FPS, GAP = int(fx.FPS), fx.MAX_GAP
-NX, NY = density.grid_size(fx.WIDTH, fx.HEIGHT)
+# What the queries should use, as plain values of its own: the SQL takes no constant from the operators that it checks.
+FPS, GAP, KINEMATICS_WINDOW = 10, 10, 31
+NX, NY = 32, 24
+INTERPOLATED = ("confidence", "x1", "y1", "x2", "y2", "center_x", "center_y", "ground_x", "ground_y")
+TELEMETRY_FIELDS = ("latitude", "longitude", "relative_altitude_m", "gimbal_yaw_deg", "gimbal_pitch_deg", "gimbal_roll_deg", "focal_length_35mm")
+COLORS = ("black", "white", "silver_gray", "red", "orange", "yellow", "green", "blue", "purple")
+SIZE_SHORT = {"small_passenger_vehicle": "S", "medium_passenger_vehicle": "M", "large_passenger_vehicle": "L", "two_wheeler": "2W", "heavy_vehicle": "HGV"}
+COLOR_SHORT = {"silver_gray": "gray"}
 SEG = "PARTITION BY track_id, segment_id"
 
 CTES: dict[str, str] = {}
@@ -134,15 +137,15 @@ CTES["metric_in"] = f"SELECT *, {_projection('ground_x_smooth', 'ground_y_smooth
 _kinematics("m", "metric_in", "x_m", "y_m", "m")
 CTES["metric"] = "SELECT *, speed_m_s * 3.6::DOUBLE AS speed_kmh, speed_m_s < 0.5 AS stopped, 'surveyed' AS metric_calibration_quality FROM m_kin"
 CTES["class_stats"] = f"""
-    SELECT m.track_id, m.class_id, m.class_name, c.class_consistency AS raw_class_consistency, median(greatest(x2 - x1, 0)) AS median_box_width_px, median(greatest(y2 - y1, 0)) AS median_box_height_px, median(least(greatest(x2 - x1, 0), greatest(y2 - y1, 0))) * {insights.PLATE_SHARE}::DOUBLE AS estimated_plate_height_upper_bound_px,
-           CASE WHEN estimated_plate_height_upper_bound_px < {insights.PLATE_PIXELS} THEN '{insights.PLATE_SMALL}' ELSE '{insights.PLATE_LARGE}' END AS plate_ocr_status
+    SELECT m.track_id, m.class_id, m.class_name, c.class_consistency AS raw_class_consistency, median(greatest(x2 - x1, 0)) AS median_box_width_px, median(greatest(y2 - y1, 0)) AS median_box_height_px, median(least(greatest(x2 - x1, 0), greatest(y2 - y1, 0))) * 0.06::DOUBLE AS estimated_plate_height_upper_bound_px,
+           CASE WHEN estimated_plate_height_upper_bound_px < 12.0 THEN 'insufficient_resolution_for_validated_ocr' ELSE 'specialized_plate_detector_and_ocr_not_run' END AS plate_ocr_status
     FROM raw JOIN raw_modes m USING (track_id) JOIN consistency c USING (track_id) GROUP BY ALL"""
 CTES["names"] = "SELECT track_id, class_name FROM raw GROUP BY track_id, class_name QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY count(*) DESC, class_name) = 1"
 CTES["areas"] = "SELECT track_id, n.class_name, median(greatest(x2 - x1, 0) * greatest(y2 - y1, 0)) AS median_box_area_px2 FROM raw JOIN names n USING (track_id) GROUP BY ALL"
 CTES["thirds"] = "SELECT CASE WHEN count(*) >= 3 THEN quantile_cont(median_box_area_px2, 0.33) ELSE median(median_box_area_px2) END AS low, CASE WHEN count(*) >= 3 THEN quantile_cont(median_box_area_px2, 0.67) ELSE median(median_box_area_px2) END AS high FROM areas WHERE class_name = 'car'"
 CTES["sizes"] = f"""
     SELECT track_id, class_name, median_box_area_px2, CASE WHEN class_name = 'motorcycle' THEN 'two_wheeler' WHEN class_name = 'bus' THEN 'bus' WHEN class_name = 'truck' THEN 'heavy_vehicle' WHEN class_name <> 'car' THEN class_name
-           WHEN median_box_area_px2 < low THEN 'small_passenger_vehicle' WHEN median_box_area_px2 > high THEN 'large_passenger_vehicle' ELSE 'medium_passenger_vehicle' END AS relative_size_class, '{appearance.SIZE_METHOD}' AS size_method FROM areas, thirds"""
+           WHEN median_box_area_px2 < low THEN 'small_passenger_vehicle' WHEN median_box_area_px2 > high THEN 'large_passenger_vehicle' ELSE 'medium_passenger_vehicle' END AS relative_size_class, 'scene-relative median detector-box area' AS size_method FROM areas, thirds"""
 CTES["samples"] = """
     SELECT track_id, frame, seq FROM (SELECT *, count(*) OVER (PARTITION BY track_id) AS n, row_number() OVER (PARTITION BY track_id ORDER BY frame, seq) - 1 AS i, least(7, n) AS m FROM raw WHERE confidence >= 0.2)
     WHERE list_contains(list_transform(range(0, CAST(m AS BIGINT)), lambda j: CAST(round_even(j * CASE WHEN m > 1 THEN (n - 1) / (m - 1) ELSE 0 END, 0) AS BIGINT)), i)"""
@@ -150,7 +153,7 @@ CTES["pixels"] = "SELECT user_id AS track_id, frame, CAST(event_id * 37 % 256 AS
 CTES["hue"] = "SELECT *, greatest(b, g, r) AS v, v - least(b, g, r) AS d, CASE WHEN v = 0 THEN 0 ELSE CAST(round(d * 255 / v) AS INTEGER) END AS s, CASE WHEN d = 0 THEN 0 WHEN v = r THEN (g - b) * 60 / d WHEN v = g THEN (b - r) * 60 / d + 120 ELSE (r - g) * 60 / d + 240 END AS deg FROM pixels"
 CTES["hsv"] = "SELECT * EXCLUDE (deg), CAST(round(CASE WHEN deg < 0 THEN deg + 360 ELSE deg END / 2) AS INTEGER) % 180 AS h FROM hue"
 CTES["painted"] = "SELECT *, CASE WHEN v < 48 THEN 'black' WHEN s < 45 AND v >= 205 THEN 'white' WHEN s < 45 THEN 'silver_gray' WHEN h < 10 OR h >= 170 THEN 'red' WHEN h < 22 THEN 'orange' WHEN h < 35 THEN 'yellow' WHEN h < 85 THEN 'green' WHEN h < 130 THEN 'blue' ELSE 'purple' END AS color FROM hsv"
-_RANK = f"list_position([{', '.join(repr(c) for c in appearance.COLORS)}], color)"
+_RANK = f"list_position([{', '.join(repr(c) for c in COLORS)}], color)"
 CTES["frame_votes"] = f"SELECT track_id, frame, color, n / total AS confidence FROM (SELECT track_id, frame, color, count(*) AS n, sum(count(*)) OVER (PARTITION BY track_id, frame) AS total FROM painted GROUP BY track_id, frame, color) QUALIFY row_number() OVER (PARTITION BY track_id, frame ORDER BY n DESC, {_RANK}) = 1"
 CTES["weights"] = "SELECT track_id, color, sum(greatest(0.05, confidence)) AS weight, min(frame) AS first, count(*) AS n FROM frame_votes GROUP BY ALL"
 CTES["colors"] = "SELECT track_id, color AS dominant_color, round(weight / sum(weight) OVER t, 4) AS color_confidence, CAST(sum(n) OVER t AS BIGINT) AS color_samples FROM weights WINDOW t AS (PARTITION BY track_id) QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY weight DESC, first) = 1"
@@ -176,14 +179,14 @@ def _dense_telemetry(gap: int, source: str = "telemetry", key: str = "") -> str:
 CTES["telemetry_all"] = _dense_telemetry(2)
 CTES["telemetry_own"] = _dense_telemetry(0)
 CTES["clips_all"] = _dense_telemetry(2, "clips", "clip")
-_F = f"(focal_length_35mm * {fx.WIDTH / geo.SENSOR_WIDTH_MM!r}::DOUBLE)"
+_F = f"(focal_length_35mm * {640 / 36!r}::DOUBLE)"
 CTES["rays"] = f"""
     SELECT c.track_id, c.segment_id, c.frame, relative_altitude_m AS alt, gimbal_pitch_deg AS pitch, focal_length_35mm AS focal, longitude, latitude, (ground_x_smooth - {(fx.WIDTH - 1) / 2}) / {_F} AS rx, (ground_y_smooth - {(fx.HEIGHT - 1) / 2}) / {_F} AS ry,
            sin(radians(gimbal_yaw_deg)) AS sy, cos(radians(gimbal_yaw_deg)) AS cy, sin(radians(gimbal_pitch_deg)) AS sp, cos(radians(gimbal_pitch_deg)) AS cp, sin(radians(gimbal_roll_deg)) AS sr, cos(radians(gimbal_roll_deg)) AS cr
     FROM l2_clean c JOIN telemetry_all USING (frame)"""
 CTES["directions"] = "SELECT *, sy * cp + rx * (cy * cr + sp * sy * sr) + ry * (sp * sy * cr - cy * sr) AS wx, cy * cp + rx * (-sy * cr + sp * cy * sr) + ry * (sp * cy * cr + sy * sr) AS wy, sp + rx * (-cp * sr) + ry * (-cp * cr) AS wz FROM rays"
 CTES["landed"] = f"""
-    SELECT *, CASE WHEN alt > 0 AND wz < -0.05 THEN -alt / wz END AS distance, radians(longitude - {fx.ORIGIN[1]}) * {geo.EARTH_RADIUS_M} * cos(radians({fx.ORIGIN[0]})) + distance * wx AS x_m, radians(latitude - {fx.ORIGIN[0]}) * {geo.EARTH_RADIUS_M} + distance * wy AS y_m,
+    SELECT *, CASE WHEN alt > 0 AND wz < -0.05 THEN -alt / wz END AS distance, radians(longitude - {fx.ORIGIN[1]}) * 6378137.0 * cos(radians({fx.ORIGIN[0]})) + distance * wx AS x_m, radians(latitude - {fx.ORIGIN[0]}) * 6378137.0 + distance * wy AS y_m,
            coalesce(pitch <= -20 AND alt BETWEEN 5 AND 500 AND focal BETWEEN 10 AND 200 AND distance <= alt * 10, FALSE) AS inside FROM directions"""
 
 
@@ -242,7 +245,7 @@ def _short(column: str, names: dict[str, str]) -> str:
 
 def _packing_sql(width: int, height: int) -> str:
     """Labels of a frame one after the other: of three places the first that is free, 7 pixels a character, text 9 high, baseline 4."""
-    label = f"'#' || s.track_id || ' ' || {_short('l.dominant_color', evidence.COLOR_SHORT)} || ' ' || {_short('l.relative_size_class', evidence.SIZE_SHORT)}"
+    label = f"'#' || s.track_id || ' ' || {_short('l.dominant_color', COLOR_SHORT)} || ' ' || {_short('l.relative_size_class', SIZE_SHORT)}"
     CTES["labelled"] = f"SELECT s.frame, s.place, 7 * length({label}) AS wide, s.ox1, s.oy1, s.ox2, s.oy2 FROM shown s JOIN longest_i l USING (track_id)"
     CTES["ordered"] = "SELECT *, row_number() OVER (PARTITION BY frame ORDER BY place) AS turn FROM labelled"
     places = (("0", "ox1", "oy1 - 20"), ("1", "ox1", "oy2 + 20"), ("2", "ox2 + 3", "oy1 + 12"))
@@ -344,7 +347,7 @@ ORACLE_SQL: dict[str, str] = {
     "top_segments_profile": _plain("SELECT track_id, segment_id, round(timestamp_s, 6) AS timestamp_s, round(speed_px_s, 6) + 0 AS speed FROM l1_motion SEMI JOIN top12 USING (track_id, segment_id)"),
     "evidence_topk": _sql("shown", "frame track_id seq place ox1 oy1 ox2 oy2", "display_score"),
     "evidence_trails": _plain("""SELECT frame, track_id, seq, CAST(count(*) OVER w AS INTEGER) AS points, CAST(sum((ox1 + ox2) // 2 + oy2) OVER w AS BIGINT) AS sum_xy FROM shown WINDOW w AS (PARTITION BY track_id ORDER BY frame, seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"""),
-    "label_text": _plain(f"""SELECT s.frame, s.track_id, s.seq, '#' || s.track_id || ' ' || {_short('l.dominant_color', evidence.COLOR_SHORT)} || ' ' || {_short('l.relative_size_class', evidence.SIZE_SHORT)} || CASE WHEN k.inside_calibration_region THEN ' ~' || CAST(round_even(k.speed_kmh, 0) AS BIGINT) || 'km/h' ELSE '' END AS label
+    "label_text": _plain(f"""SELECT s.frame, s.track_id, s.seq, '#' || s.track_id || ' ' || {_short('l.dominant_color', COLOR_SHORT)} || ' ' || {_short('l.relative_size_class', SIZE_SHORT)} || CASE WHEN k.inside_calibration_region THEN ' ~' || CAST(round_even(k.speed_kmh, 0) AS BIGINT) || 'km/h' ELSE '' END AS label
         FROM shown s JOIN longest_m l USING (track_id) LEFT JOIN metric k ON k.frame = s.frame AND k.track_id = s.track_id"""),
     "label_overlap_pairs": _plain("SELECT a.frame, CAST(a.place AS INTEGER) AS a, CAST(b.place AS INTEGER) AS b FROM shown a JOIN shown b ON a.frame = b.frame AND a.place < b.place AND a.ox1 < b.ox2 AND a.ox2 > b.ox1 AND a.oy1 < b.oy2 AND a.oy2 > b.oy1"),
     "session_segments_stream": _plain(f"""SELECT track_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS rows FROM (SELECT *, sum(cut) OVER (PARTITION BY track_id ORDER BY frame, seq) AS part FROM (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY track_id ORDER BY frame, seq) > {GAP + 1} THEN 1 ELSE 0 END AS cut FROM raw)) GROUP BY track_id, part"""),
