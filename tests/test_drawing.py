@@ -135,3 +135,26 @@ def test_the_plan_of_a_level_is_drawn(spark, clip, tmp_path):
     out = str(tmp_path / "a.y4m")
     video.write_video(video.draw_plan(evidence.annotation_plan(raw), clip, frames=30), out, 10.0)
     assert video.probe(out).frames == 30
+
+
+def test_evidence_labels_stay_in_their_places(spark, clip, tmp_path):
+    """Labels of crowded boxes: no drawn pixel lies outside a packed place or a box, and places do not overlap."""
+    rows = [(f, k, 100 * f + k, 3 + 5 * k, 12 + 9 * (k % 3), 30 + 5 * k, 40, "#1 M", "red", []) for f in range(4) for k in range(1, 6)]
+    labelled = spark.createDataFrame(rows, "frame long, place int, seq long, ox1 int, oy1 int, ox2 int, oy2 int, label string, dominant_color string, trail array<struct<trail_x:int,trail_y:int>>")
+    plan = evidence.evidence_drawing(labelled, W, H)
+    places = [tuple(r) for r in plan.filter("frame = 1 AND label IS NOT NULL").select("left", "top", "right", "bottom").collect()]
+    assert 1 <= len(places) < 5 and plan.filter("frame = 1").count() == 5
+    assert not any(a[0] < b[2] and a[2] > b[0] and a[1] < b[3] and a[3] > b[1] for i, a in enumerate(places) for b in places[:i])
+    out = str(tmp_path / "e.y4m")
+    video.write_video(video.draw_plan(plan, clip, frames=4), out, 10.0)
+    image = np.frombuffer(video.read_frames(spark, out, 1, 1).first().bgr, np.uint8).reshape(H, W, 3).astype(int)
+    allowed = np.zeros((H, W), bool)
+    for left, top, right, bottom in places:
+        allowed[top:bottom, left:right] = True
+        assert (image[top:bottom, left:right].sum(-1) < 60).any()  # a label's black ground
+    for f, _, _, x1, y1, x2, y2, *_ in rows:
+        if f == 1:
+            allowed[y1:y2, x1:x2] = True
+    allowed = allowed | np.roll(allowed, 1, 0) | np.roll(allowed, -1, 0)
+    allowed = allowed | np.roll(allowed, 1, 1) | np.roll(allowed, -1, 1)  # colours are halved
+    assert (np.abs(image - (31, 60, 90)).max(-1) <= 6)[~allowed].all()

@@ -3,6 +3,7 @@
 import itertools
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -150,6 +151,29 @@ def test_overlaps_of_a_crowd():
     assert {(a, b): v for a, b, v in zip(i.tolist(), j.tolist(), iou)} == pytest.approx({k: v for k, v in want.items() if v > 0})
 
 
+def test_suppression_equals_a_plain_program():
+    r = np.random.default_rng(6)
+    for n in (0, 1, 7, 60, 300):
+        corner = r.integers(0, 60, (n, 2)).astype(float)
+        boxes = np.concatenate([corner, corner + r.integers(0, 30, (n, 2))], axis=1)
+        if n > 7:
+            boxes[5] = np.nan
+        want = []
+        for k, b in enumerate(boxes):
+            want.append(not any(w and plain_iou(boxes[i], b) > 0.3 for i, w in enumerate(want)))
+        for block in (4, 512):
+            assert association.unsuppressed(boxes, 0.3, block).tolist() == want
+
+
+def test_a_crowded_frame_is_swept():
+    r = np.random.default_rng(7)
+    corner = r.uniform(0, 20_000, (100_000, 2))
+    boxes = np.concatenate([corner, corner + r.uniform(5, 40, (100_000, 2))], axis=1)
+    began = time.process_time()
+    kept = association.unsuppressed(boxes, 0.5)
+    assert 50_000 < kept.sum() < 100_000 and time.process_time() - began < 120
+
+
 def test_settings_are_read_by_their_names():
     got = TrackerSettings.of({"tracker_type": "botsort", "track_high_thresh": 0.3, "track_buffer": 7, "fuse_score": False})
     assert (got.track_high_thresh, got.track_buffer, got.fuse_score, got.match_thresh) == (0.3, 7, False, 0.8)

@@ -30,7 +30,7 @@ def _parser() -> argparse.ArgumentParser:
         sub.add_argument("--confidence", type=float, default=0.0)
         sub.add_argument("--stride", type=int, default=1)
         sub.add_argument("--max-seconds", type=float)
-        sub.add_argument("--draw", action="store_true", help="write the annotated video (raw) of level 1")
+        sub.add_argument("--draw", action="store_true", help="also write the annotated video (level1) or the evidence video (level2), raw")
     sub.add_argument("--calibration", help="JSON file of control points")
     sub.add_argument("--telemetry", help="telemetry text of the clip")
     sub.add_argument("--segment", type=int)
@@ -51,6 +51,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> di
     width, height = (seen.width, seen.height) if seen else (got.width, got.height)
     spark = spark or SparkSession.builder.appName("trackspark").getOrCreate()
     raw = tables.read_tracks(spark, got.tracks, level2=got.command == "level2")
+    if "seq" not in raw.columns:
+        raw = raw.withColumn("seq", F.xxhash64(*raw.columns))  # what tells rows of one track and frame apart
     classes = tables.parse_ids(got.classes) if got.classes else None
     if classes or got.confidence or got.stride > 1 or got.max_seconds is not None:
         every = classes or tuple(r[0] for r in raw.select("class_id").distinct().collect())  # a few classes
@@ -74,6 +76,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> di
             projection |= {"telemetry": tables.read_telemetry(spark, got.telemetry, got.segment), "frame_offset": got.frame_offset}
         config = Level2Config(fps, got.min_track_seconds, frame_width=width, frame_height=height, kinematics_window=got.kinematics_window)
         summary = sinks.write_level2(raw, config, votes, got.output, details | {k: str(Path(v)) for k, v in (("calibration", got.calibration), ("telemetry", got.telemetry)) if v}, **projection)
+        if got.draw and seen:
+            plan = evidence.evidence_drawing(spark.read.parquet(f"{got.output}/parquet/evidence"), width, height)
+            video.write_video(video.draw_plan(plan, got.video, got.stride, seen.frames_within(got.max_seconds)), f"{got.output}/evidence.y4m", video.output_fps(fps, got.stride), overwrite=True)
     print(json.dumps(summary, indent=2, default=str))
     return summary
 

@@ -41,14 +41,14 @@ class TrackerSettings:
         return cls(**{f.name: values[f.name] for f in fields(cls) if f.name in values})  # type: ignore[arg-type]
 
 
-def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers and intersection over union of all pairs of boxes (x1, y1, x2, y2) that overlap, by a sweep along x."""
+def common_areas(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, common area and area of the union of all pairs of boxes (x1, y1, x2, y2) that overlap, by a sweep along x."""
     none = np.zeros(0, np.int64)
     if not len(a) or not len(b):
-        return none, none, np.zeros(0)
+        return none, none, np.zeros(0), np.zeros(0)
     order = np.argsort(b[:, 0], kind="stable")
     left = b[order, 0]
-    widest = max(0.0, float((b[:, 2] - b[:, 0]).max()))
+    widest = max(0.0, float(np.nanmax(np.append(b[:, 2] - b[:, 0], 0.0))))
     low, high = np.searchsorted(left, a[:, 0] - widest, "left"), np.searchsorted(left, a[:, 2], "left")
     n = np.maximum(0, high - low)
     i = np.repeat(np.arange(len(a)), n)
@@ -58,7 +58,31 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     good = (wide > 0) & (tall > 0)
     i, j, common = i[good], j[good], (wide * tall)[good]
     size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-    return i, j, common / (size(a)[i] + size(b)[j] - common)
+    return i, j, common, size(a)[i] + size(b)[j] - common
+
+
+def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers and intersection over union of all pairs of boxes that overlap."""
+    i, j, common, union = common_areas(a, b)
+    return i, j, common / union
+
+
+def unsuppressed(boxes: np.ndarray, least_iou: float, block: int = 512) -> np.ndarray:
+    """Which of boxes, best first, no better one that is kept overlaps by more than least_iou; pairs are found a block of boxes at a time."""
+    kept = np.ones(len(boxes), bool)
+    for start in range(0, len(boxes), block):
+        rows = start + np.flatnonzero(kept[start : start + block])  # what is gone by now suppresses none
+        i, j, common, union = common_areas(boxes[rows], boxes)
+        i = rows[i]
+        good = (j > i) & (common > least_iou * union)
+        i, j = i[good], j[good]
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        begin = np.searchsorted(i, rows)
+        for row, low, high in zip(rows.tolist(), begin.tolist(), [*begin[1:].tolist(), len(i)]):
+            if kept[row]:
+                kept[j[low:high]] = False
+    return kept
 
 
 def _optimal(cost: np.ndarray) -> np.ndarray:

@@ -142,6 +142,16 @@ def track_color(track: Column) -> Column:
     return F.array(*(F.pmod(F.shiftright(spread, 8 * k), F.lit(176)).cast("int") + 80 for k in range(3)))
 
 
+def evidence_drawing(rows: DataFrame, width: int, height: int, char_width: int = 8) -> DataFrame:
+    """The plan of an evidence video from labelled rows with trails: boxes by colour, labels where pack_labels puts them, none where there is no room.
+
+    char_width is that of the drawn glyphs, so that a label fits its place.
+    """
+    packed = pack_labels(rows, width, height, char_width)
+    rows = rows.join(packed, ["frame", "place"], "left")
+    return rows.select("frame", F.col("place").alias("seq"), *(F.col(f"o{c}").alias(c) for c in ("x1", "y1", "x2", "y2")), F.when(F.col("slot").isNotNull(), F.col("label")).alias("label"), box_color(F.col("dominant_color")).alias("color"), "trail", "left", "top", "right", "bottom")
+
+
 def annotation_plan(raw: DataFrame, length: int = 20, every: int = 1) -> DataFrame:
     """What a tracking video shows: of every frame kept its boxes, labels, track colours and trails."""
     rows = raw.filter(F.col("frame") % every == 0).withColumns({"trail_x": F.floor("ground_x").cast("int"), "trail_y": F.floor("ground_y").cast("int")})

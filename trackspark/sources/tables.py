@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import no_nan, round_exact
+from ..operators.association import unsuppressed
 from ..operators.geo import Calibration, calibrate, telemetry_segments
 from ..schema import LEVEL2_NEEDS, RAW_TRACKS, TELEMETRY_FIELDS, require_columns
 
@@ -108,23 +111,29 @@ def suppress_overlaps(detections: DataFrame, least_iou: float = 0.7) -> DataFram
     """Detections without those that a more confident one of their frame and class overlaps by more than least_iou.
 
     Greedy, as detectors do it: only rows that are kept suppress others; ties go to the
-    smaller seq.  A frame holds a bounded number of boxes, which are folded in the JVM.
+    smaller seq.  Overlaps are found by a sweep, so a crowded frame of many thousand boxes
+    costs what overlaps, not all pairs; a task holds the corners of one frame and class.
     """
     if not 0 <= least_iou <= 1:
         raise ValueError("least_iou must be from 0 to 1")
-    corners = ("x1", "y1", "x2", "y2")
-
-    def area(b: Column) -> Column:
-        return F.greatest(F.lit(0.0), b["x2"] - b["x1"]) * F.greatest(F.lit(0.0), b["y2"] - b["y1"])
-
-    def over(a: Column, b: Column) -> Column:
-        wide = F.greatest(F.lit(0.0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]))
-        high = F.greatest(F.lit(0.0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]))
-        return wide * high > least_iou * (area(a) + area(b) - wide * high)
-
-    boxes = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("less"), "seq", *corners)))
-    kept = F.aggregate(boxes, F.array().cast("array<struct<less:double,seq:bigint,x1:double,y1:double,x2:double,y2:double>>"), lambda seen, b: F.when(F.exists(seen, lambda k: over(k, b)), seen).otherwise(F.concat(seen, F.array(b))))
-    chosen = detections.groupBy("frame", "class_id").agg(kept.alias("_kept")).select("frame", "class_id", F.explode("_kept.seq").alias("seq"))
+    corners = ["x1", "y1", "x2", "y2"]
+    order = (-F.col("confidence")).alias("less")
+    rows = detections.select("frame", "class_id", order, "seq", *(F.col(c).cast("double").alias(c) for c in corners))
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            cut = (rows[["frame", "class_id"]].fillna(-1) == rows[["frame", "class_id"]].fillna(-1).iloc[-1]).all(axis=1)
+            held, whole = rows[cut], rows[~cut]  # the last frame may go on
+            for _, one in whole.groupby(["frame", "class_id"], sort=False, dropna=False):
+                yield one.loc[unsuppressed(one[corners].to_numpy(float), least_iou), ["frame", "class_id", "seq"]]
+        if held is not None and len(held):
+            yield held.loc[unsuppressed(held[corners].to_numpy(float), least_iou), ["frame", "class_id", "seq"]]
+
+    dealt = rows.repartition("frame", "class_id").sortWithinPartitions("frame", "class_id", "less", "seq")
+    kinds = dict(rows.dtypes)
+    chosen = dealt.mapInPandas(keep, ", ".join(f"{c} {kinds[c]}" for c in ("frame", "class_id", "seq")))
     return detections.join(chosen, ["frame", "class_id", "seq"], "left_semi")
 
 

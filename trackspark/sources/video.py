@@ -230,8 +230,8 @@ def draw_plan(plan: DataFrame, path: str, every: int = 1, frames: int | None = N
     """Every so many frames of the video at path, numbered anew from 0, with the boxes, trails and labels of a plan drawn in.
 
     plan has frame, x1, y1, x2, y2, label, color (b, g, r) and trail (trail_x, trail_y), as
-    annotation_plan gives it; a label stands above its box, or at left and top where the
-    plan has them.  Later rows by seq cover earlier ones.  Frames without rows are shown
+    annotation_plan and evidence_drawing give it; a label stands above its box, or, where
+    the plan has them, within left, top, right and bottom.  Later rows by seq cover earlier ones.  Frames without rows are shown
     as they are.  The plan's rows go to the frames, which are read in place and never
     shuffled; a task's frames are a run of the video.
     """
@@ -239,7 +239,7 @@ def draw_plan(plan: DataFrame, path: str, every: int = 1, frames: int | None = N
         raise ValueError("every must be at least 1")
     seen = probe(path, 1.0)
     end = seen.frames if frames is None else min(frames, seen.frames)
-    at = [c for c in ("left", "top") if c in plan.columns]
+    at = [c for c in ("left", "top", "right", "bottom") if c in plan.columns]
     shown = plan.filter((F.col("frame") % every == 0) & F.col("frame").between(0, end - 1))
     points = F.transform("trail", lambda p: F.array(p["trail_x"].cast("int"), p["trail_y"].cast("int")))
     order = F.col("seq") if "seq" in plan.columns else F.xxhash64("x1", "y1", "x2", "y2", "label")
@@ -263,9 +263,10 @@ def draw_plan(plan: DataFrame, path: str, every: int = 1, frames: int | None = N
             for r in own.itertuples(index=False):
                 drawing.box(image, int(r.x1), int(r.y1), int(r.x2), int(r.y2), r.color)
             for r in own.itertuples(index=False):
-                if r.label:
-                    put = (int(r.left), int(r.top)) if at and r.left == r.left else (int(r.x1), int(r.y1) - drawing.text_size(r.label, scale)[1])
-                    drawing.label(image, r.label, *put, r.color, scale)
+                if r.label and len(at) == 4:
+                    drawing.label(image[: int(r.bottom), : int(r.right)], r.label, int(r.left), int(r.top), r.color, scale)
+                elif r.label:
+                    drawing.label(image, r.label, int(r.x1), int(r.y1) - drawing.text_size(r.label, scale)[1], r.color, scale)
             yield pd.DataFrame({"clip": [path], "frame": [n // every], "height": [raw.height], "width": [raw.width], "bgr": [image.tobytes()]})
 
     dealt = rows.repartitionByRange("frame").sortWithinPartitions("frame", "seq")
