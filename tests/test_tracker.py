@@ -175,7 +175,7 @@ def test_a_crowded_frame_is_swept():
 
 
 def test_settings_are_read_by_their_names():
-    got = TrackerSettings.of({"tracker_type": "botsort", "track_high_thresh": 0.3, "track_buffer": 7, "fuse_score": False})
+    got = TrackerSettings.of({"other": "left out", "track_high_thresh": 0.3, "track_buffer": 7, "fuse_score": False})
     assert (got.track_high_thresh, got.track_buffer, got.fuse_score, got.match_thresh) == (0.3, 7, False, 0.8)
     for bad in ({"track_low_thresh": 0.5}, {"track_buffer": -1}, {"match_thresh": 0.0}, {"new_track_thresh": 2.0}):
         with pytest.raises(ValueError):

@@ -28,6 +28,7 @@ def hsv(b: Column, g: Column, r: Column) -> tuple[Column, Column, Column]:
 
 def color_family(h: Column, s: Column, v: Column) -> Column:
     """Dark is black, pale is white or gray, all else goes by hue."""
+    # fixed values: limits of the families in 8-bit hue, saturation and value
     out = F.when(v < 48, "black").when((s < 45) & (v >= 205), "white").when(s < 45, "silver_gray").when((h < 10) | (h >= 170), "red")
     for limit, name in ((22, "orange"), (35, "yellow"), (85, "green"), (130, "blue")):
         out = out.when(h < limit, name)
@@ -84,6 +85,7 @@ def relative_sizes(raw: DataFrame) -> DataFrame:
     q = exact_quantiles(cars, {str(p): ("median_box_area_px2", p) for p in (0.33, 0.5, 0.67)})
     few = cars.limit(3).count() < 3
     low, high = (F.lit(q["0.5" if few else k]).cast("double") for k in ("0.33", "0.67"))
+    # fixed values: names of the size classes
     name, area = F.col("class_name"), F.col("median_box_area_px2")
     size = F.when(name == "motorcycle", "two_wheeler").when(name == "bus", "bus").when(name == "truck", "heavy_vehicle").when(name != "car", name)
     size = size.when(area < low, "small_passenger_vehicle").when(area > high, "large_passenger_vehicle").otherwise("medium_passenger_vehicle")

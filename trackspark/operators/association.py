@@ -21,7 +21,7 @@ SECOND_LIMIT, FRESH_LIMIT, SAME = 0.5, 0.7, 0.15
 
 @dataclass(frozen=True)
 class TrackerSettings:
-    """Thresholds by the names of tracker files; ``of`` takes such a file's values and leaves others out."""
+    """Thresholds by the names of tracker files (fixed values); ``of`` takes such a file's values and leaves others out."""
 
     track_high_thresh: float = 0.2
     track_low_thresh: float = 0.05

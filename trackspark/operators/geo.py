@@ -72,6 +72,7 @@ class Calibration:
         return "measured metric coordinates" if self.quality == "surveyed" else "estimated metric coordinates"
 
     def report(self) -> dict[str, object]:
+        # fixed values: the keys of the report's format
         return {
             "reference": self.reference,
             "quality": self.quality,

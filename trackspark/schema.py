@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+#: Fixed values of the data format: columns of raw tracks.
 RAW_TRACKS = T.StructType(
     [
         T.StructField("frame", T.LongType()),
@@ -15,11 +16,13 @@ RAW_TRACKS = T.StructType(
         *(T.StructField(c, T.DoubleType()) for c in ("confidence", "x1", "y1", "x2", "y2", "center_x", "center_y", "ground_x", "ground_y")),
     ]
 )
+#: Fixed values of the data format: fields of telemetry.
 TELEMETRY_FIELDS = ("latitude", "longitude", "relative_altitude_m", "gimbal_yaw_deg", "gimbal_pitch_deg", "gimbal_roll_deg", "focal_length_35mm")
 TELEMETRY = T.StructType([T.StructField("frame", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in TELEMETRY_FIELDS)])
-#: Columns that brief gaps are interpolated in, where a table has them.
+#: Columns that brief gaps are interpolated in, where a table has them.
 INTERPOLATED = ("confidence", "x1", "y1", "x2", "y2", "center_x", "center_y", "ground_x", "ground_y")
 
+#: Columns that the levels cannot do without.
 CLEAN_NEEDS = frozenset({"frame", "timestamp_s", "track_id", "class_id", "class_name", "confidence", "ground_x", "ground_y"})
 LEVEL2_NEEDS = CLEAN_NEEDS | {"x1", "y1", "x2", "y2"}
 
