@@ -10,3 +10,10 @@ def test_longest_segment_does_not_hang_on_last_bits(spark):
     assert sorted(r.segment_id for r in evidence.longest_segments(objects).collect()) == ["2-1", "3-2"]
     moved = objects.selectExpr("track_id", "segment_id", "0.0D AS timestamp_s", "1.0D AS speed_px_s")
     assert [r.segment_id for r in evidence.top_segment_profiles(objects.filter("track_id = 3"), moved, 1).collect()] == ["3-2"]
+
+
+def test_a_track_of_just_two_seconds_is_stable(spark):
+    short = 2.0 - 3e-16
+    assert short < 2.0
+    objects = spark.createDataFrame([(1, "1-0", short, 0.9, 0.9, 20.0), (2, "2-0", 1.9, 0.9, 0.9, 20.0)], "track_id long, segment_id string, duration_s double, raw_class_consistency double, color_confidence double, displacement_px double")
+    assert [r.track_id for r in evidence.stable_tracks(objects).collect()] == [1]
