@@ -1,6 +1,6 @@
 """Ties that are exact on paper, where sums and differences of doubles leave last bits."""
 
-from trackspark.operators import evidence
+from trackspark.operators import appearance, evidence
 
 
 def test_longest_segment_does_not_hang_on_last_bits(spark):
@@ -17,3 +17,18 @@ def test_a_track_of_just_two_seconds_is_stable(spark):
     assert short < 2.0
     objects = spark.createDataFrame([(1, "1-0", short, 0.9, 0.9, 20.0), (2, "2-0", 1.9, 0.9, 0.9, 20.0)], "track_id long, segment_id string, duration_s double, raw_class_consistency double, color_confidence double, displacement_px double")
     assert [r.track_id for r in evidence.stable_tracks(objects).collect()] == [1]
+
+
+#: Track 1: green and blue both have 1, green is first.  Track 2: red has 0.9 of 3.2, which is 0.28125.
+VOTES = [(1, f, "green", 0.1) for f in range(10)] + [(1, 20, "blue", 1.0)] + [(2, f, "red", 0.1) for f in range(9)] + [(2, 20, "blue", 0.8), (2, 21, "white", 0.8), (2, 22, "black", 0.7)]
+
+
+def colors(spark, parts=1):
+    votes = spark.createDataFrame(VOTES, "track_id long, frame long, color string, confidence double").repartition(parts, "frame").coalesce(parts)
+    return appearance.color_vote(votes, votes)
+
+
+def test_color_vote_does_not_hang_on_the_order_of_adding(spark):
+    for parts in (1, 3):
+        got = {r.track_id: (r.dominant_color, r.color_confidence, r.color_samples) for r in colors(spark, parts).collect()}
+        assert got == {1: ("green", 0.5, 11), 2: ("red", 0.2813, 12)}
