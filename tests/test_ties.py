@@ -1,5 +1,7 @@
 """Ties that are exact on paper, where sums and differences of doubles leave last bits."""
 
+from pyspark.sql import functions as F
+
 from trackspark.operators import appearance, evidence
 
 
@@ -32,3 +34,9 @@ def test_color_vote_does_not_hang_on_the_order_of_adding(spark):
     for parts in (1, 3):
         got = {r.track_id: (r.dominant_color, r.color_confidence, r.color_samples) for r in colors(spark, parts).collect()}
         assert got == {1: ("green", 0.5, 11), 2: ("red", 0.2813, 12)}
+
+
+def test_box_colours_of_a_tie(spark):
+    b, g, r = (evidence.box_color(F.col("dominant_color"))[k] for k in range(3))
+    got = {row.track_id: (row.b, row.g, row.r) for row in colors(spark).select("track_id", b.alias("b"), g.alias("g"), r.alias("r")).collect()}
+    assert got == {1: (70, 200, 70), 2: (40, 40, 230)}
