@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from trackspark.operators import appearance, evidence
+from trackspark.operators import appearance, evidence, insights
 
 
 def test_longest_segment_does_not_hang_on_last_bits(spark):
@@ -40,3 +40,15 @@ def test_box_colours_of_a_tie(spark):
     b, g, r = (evidence.box_color(F.col("dominant_color"))[k] for k in range(3))
     got = {row.track_id: (row.b, row.g, row.r) for row in colors(spark).select("track_id", b.alias("b"), g.alias("g"), r.alias("r")).collect()}
     assert got == {1: (70, 200, 70), 2: (40, 40, 230)}
+
+
+def objects(spark):
+    raw = spark.createDataFrame([(t, f, 2, "car", 0.0, 0.0, 10.0, 5.0) for t in (1, 2) for f in range(3)], "track_id long, frame long, class_id int, class_name string, x1 double, y1 double, x2 double, y2 double")
+    moved = raw.selectExpr("track_id", "concat(track_id, '-0') AS segment_id", "frame / 10.0D AS timestamp_s", "true AS observed", "1.0D AS speed_px_s", "1.0D * frame AS position_x_px", "0.0D AS position_y_px")
+    sizes = spark.createDataFrame([(1, "car", 50.0, "medium_passenger_vehicle", "m"), (2, "car", 50.0, "medium_passenger_vehicle", "m")], "track_id long, class_name string, median_box_area_px2 double, relative_size_class string, size_method string")
+    return insights.object_insights(raw, moved, colors(spark), sizes, 10.0)
+
+
+def test_distributions_of_a_tie(spark):
+    got = {(r.kind, r.label): r.tracks for r in insights.distributions(objects(spark)).filter("kind = 'color'").collect()}
+    assert got == {("color", "green"): 1, ("color", "red"): 1}
