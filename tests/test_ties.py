@@ -52,3 +52,7 @@ def objects(spark):
 def test_distributions_of_a_tie(spark):
     got = {(r.kind, r.label): r.tracks for r in insights.distributions(objects(spark)).filter("kind = 'color'").collect()}
     assert got == {("color", "green"): 1, ("color", "red"): 1}
+
+
+def test_object_insights_of_a_tie(spark):
+    assert {r.track_id: (r.dominant_color, r.color_confidence) for r in objects(spark).collect()} == {1: ("green", 0.5), 2: ("red", 0.2813)}
