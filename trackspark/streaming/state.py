@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -43,14 +44,25 @@ def run_appended(result: DataFrame, path: str) -> None:
         query.awaitTermination()
 
 
+def _packed(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 class OrderedProcessor(StatefulProcessor):
     """Holds rows until the watermark has passed their frame, then hands them over in order; state of a key is what waits.
 
     A subclass names its columns (ROW, beginning with frame) and takes ordered rows in ``take``.  A row
-    without anything but a frame says that the key is over and lets all out.
+    without anything but a frame says that the key is over and lets all out.  Rows wait as
+    parts of BLOCK frames, an entry of the state each, so that neither a key's rows nor
+    a single state value grow with what waits: memory is that of HELD rows or of a block.
     """
 
     ROW = "frame long"
+    BLOCK, HELD = 4096, 50_000
 
     def __init__(self, fps: float):
         self.fps = positive_fps(fps)
@@ -58,7 +70,8 @@ class OrderedProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.ROW)
+        self.waiting = handle.getMapState("waiting", "block long, part int", "rows binary")
+        self.blocks = handle.getMapState("blocks", "block long", "parts int, first long")
         self.done = handle.getValueState("done", "frame long")
 
     def take(self, key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -71,36 +84,61 @@ class OrderedProcessor(StatefulProcessor):
     def _millis(self, frame: int) -> int:
         return int(frame * 1000.0 / self.fps) + START_MS
 
-    def _advance(self, key: tuple, rows: pd.DataFrame, until: int | None) -> Iterator[pd.DataFrame]:
-        """Hand over the frames whose time is up (all, if until is None); wait for the others."""
-        ready = rows["frame"].map(self._millis) < until if until is not None else pd.Series(True, rows.index)
-        if ready.any():
-            ordered = rows[ready].sort_values([c for c in ("frame", "seq") if c in self.columns], kind="stable", ignore_index=True)
-            yield from self.take(key, ordered)
-            self.done.update((int(ordered["frame"].iloc[-1]),))
-        rest = rows[~ready]
-        if len(rest):
-            self.waiting.put(list(rest.itertuples(index=False, name=None)))
-            self.handle.registerTimer(self._millis(int(rest["frame"].min())))
-        else:
-            self.waiting.clear()
-
-    def _held(self) -> pd.DataFrame:
-        return pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.columns)
+    def _wait(self, rows: pd.DataFrame) -> None:
+        """A further part of each block that has some of the rows."""
+        for block, part in rows.groupby(rows["frame"] // self.BLOCK):
+            name, first = (int(block),), int(part["frame"].min())
+            parts, before = self.blocks.getValue(name) if self.blocks.containsKey(name) else (0, first)
+            self.waiting.updateValue((int(block), parts), (_packed(part),))
+            self.blocks.updateValue(name, (parts + 1, min(first, before)))
+
+    def _block(self, block: int, parts: int) -> pd.DataFrame:
+        """A block's rows in order; they leave the state."""
+        rows = pd.concat([pa.ipc.open_stream(self.waiting.getValue((block, i))[0]).read_pandas() for i in range(parts)], ignore_index=True)
+        for i in range(parts):
+            self.waiting.removeKey((block, i))
+        self.blocks.removeKey((block,))
+        return rows.sort_values([c for c in ("frame", "seq") if c in self.columns], kind="stable", ignore_index=True)
+
+    def _advance(self, key: tuple, until: int | None) -> Iterator[pd.DataFrame]:
+        """Hand over the frames whose time is up (all, if until is None), block by block; the others wait on."""
+        first = None
+        for (block,), (parts, least) in sorted((tuple(k), tuple(v)) for k, v in self.blocks.iterator()):
+            if until is None or self._millis(least) < until:
+                rows = self._block(block, parts)
+                ready = rows["frame"].map(self._millis) < until if until is not None else pd.Series(True, rows.index)
+                if ready.any():
+                    yield from self.take(key, rows[ready])
+                    self.done.update((int(rows.loc[ready, "frame"].iloc[-1]),))
+                if ready.all():
+                    continue
+                self._wait(rows[~ready])
+                least = int(rows.loc[~ready, "frame"].min())
+            first = least if first is None else first
+        if first is not None:
+            self.handle.registerTimer(self._millis(first))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)[self.columns]
-        ends = new.drop(columns="frame").isna().all(axis=1)
         last = self.done.get()[0] if self.done.exists() else None
-        late = (new["frame"] <= last) & ~ends if last is not None else pd.Series(False, new.index)
-        if late.any():
-            yield from self.refuse(key, new[late])
-        parts = [f for f in (self._held(), new[~late & ~ends]) if len(f)]
-        held = pd.concat(parts, ignore_index=True) if parts else new.iloc[:0]
-        yield from self._advance(key, held, None if ends.any() else timerValues.getCurrentWatermarkInMs())
+        over, new, n = False, [], 0
+        for batch in rows:
+            batch = batch[self.columns]
+            ends = batch.drop(columns="frame").isna().all(axis=1)
+            over = over or bool(ends.any())
+            late = (batch["frame"] <= last) & ~ends if last is not None else pd.Series(False, batch.index)
+            if late.any():
+                yield from self.refuse(key, batch[late])
+            new.append(batch[~late & ~ends])
+            n += len(new[-1])
+            if n >= self.HELD:
+                self._wait(pd.concat(new, ignore_index=True))
+                new, n = [], 0
+        if n:
+            self._wait(pd.concat([b for b in new if len(b)], ignore_index=True))
+        yield from self._advance(key, None if over else timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, self._held(), timerValues.getCurrentWatermarkInMs() + 1)
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs() + 1)
 
     def close(self) -> None:
         pass

@@ -21,7 +21,7 @@ OUT = f"clip string, {ROW}, track_id long"
 class _ClipTracker(OrderedProcessor):
     """State of a clip: its waiting rows, its tracks (live, fresh and lost within the buffer, so bounded), step and last number."""
 
-    ROW = ROW
+    ROW, BLOCK = ROW, 8
 
     def __init__(self, fps: float, settings: TrackerSettings):
         super().__init__(fps)
@@ -32,19 +32,29 @@ class _ClipTracker(OrderedProcessor):
         self.tracks = handle.getListState("tracks", "head array<long>, filter array<double>")
         self.clock = handle.getValueState("clock", "step long, given long")
 
-    def take(self, key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def _tracker(self) -> Tracker:
         step, given = self.clock.get() if self.clock.exists() else (0, 0)
         held = list(self.tracks.get()) if self.tracks.exists() else []
         heads = np.array([t[0] for t in held], np.int64).reshape(-1, 4)
-        tracker = Tracker(self.settings, step, given, heads, np.array([t[1] for t in held], float).reshape(-1, 4, 5))
-        for _, frame in rows.groupby("frame", sort=False):
-            yield numbered(tracker, frame).assign(clip=key[0])[["clip", *_COLUMNS, "track_id"]]
-        self.clock.update((tracker.step, tracker.given))
-        if len(tracker.heads):
-            self.tracks.put([(h.tolist(), f.ravel().tolist()) for h, f in zip(tracker.heads, tracker.filters)])
+        return Tracker(self.settings, step, given, heads, np.array([t[1] for t in held], float).reshape(-1, 4, 5))
+
+    def _advance(self, key: tuple, until: int | None) -> Iterator[pd.DataFrame]:
+        """As in general, with the clip's tracks read before the first block and written after the last."""
+        self.tracker: Tracker | None = None
+        yield from super()._advance(key, until)
+        if self.tracker is None:
+            return
+        self.clock.update((self.tracker.step, self.tracker.given))
+        if len(self.tracker.heads):
+            self.tracks.put([(h.tolist(), f.ravel().tolist()) for h, f in zip(self.tracker.heads, self.tracker.filters)])
         else:
             self.tracks.clear()
 
+    def take(self, key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        self.tracker = self.tracker or self._tracker()
+        for _, frame in rows.groupby("frame", sort=False):
+            yield numbered(self.tracker, frame).assign(clip=key[0])[["clip", *_COLUMNS, "track_id"]]
+
     def refuse(self, key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield rows.assign(clip=key[0], track_id=pd.array([None] * len(rows), "Int64"))[["clip", *_COLUMNS, "track_id"]]
 
