@@ -17,6 +17,8 @@ FRESH, TRACKED, LOST = 0, 1, 2
 #: second round and of fresh tracks, and the overlap distance below which a lost and a live track are one.
 PLACE_SPREAD, SPEED_SPREAD = 1 / 20, 1 / 160
 SECOND_LIMIT, FRESH_LIMIT, SAME = 0.5, 0.7, 0.15
+#: Rounds of bids before the rows that are left are placed one at a time; any number gives an optimum.
+BID_ROUNDS = 50
 
 
 @dataclass(frozen=True)
@@ -85,34 +87,91 @@ def unsuppressed(boxes: np.ndarray, least_iou: float, block: int = 512) -> np.nd
     return kept
 
 
-def _optimal(cost: np.ndarray) -> np.ndarray:
-    """The column of each row of the cheapest assignment of a matrix with as many columns at least (shortest augmenting paths)."""
-    n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    row_of = np.zeros(m + 1, np.int64)  # 1-based; column 0 holds the row that looks for a column
-    for row in range(1, n + 1):
-        row_of[0], at = row, 0
-        best, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64), np.zeros(m + 1, bool)
-        while row_of[at]:
-            used[at] = True
-            slack = np.append(np.inf, cost[row_of[at] - 1] - u[row_of[at]] - v[1:])
-            less = ~used & (slack < best)
-            best[less], way[less] = slack[less], at
-            free = np.where(used, np.inf, best)
-            step = int(np.argmin(free))
-            d = free[step]
-            u[row_of[used]] += d
-            v[used] -= d
-            best[~used] -= d
-            at = step
-        while at:
-            row_of[at] = row_of[way[at]]
-            at = int(way[at])
-    out = np.zeros(n, np.int64)
-    for column in range(1, m + 1):
-        if row_of[column]:
-            out[row_of[column] - 1] = column - 1
-    return out
+def _bid(start: np.ndarray, c: np.ndarray, gain: np.ndarray, price: np.ndarray, owner: np.ndarray, rounds: int) -> None:
+    """Rows without a column bid for their best one what it is worth more than their second best, or than none; the highest bid has it.
+
+    A price rises only with a bid, so a column without an owner costs nothing, and no
+    owner would rather have another column; _augment places the rows that are left.
+    """
+    free = np.arange(len(start) - 1)
+    for _ in range(rounds):
+        n = start[free + 1] - start[free]
+        at = np.cumsum(n) - n
+        e = np.arange(n.sum()) - np.repeat(at - start[free], n)
+        net = gain[e] - price[c[e]]
+        best = np.maximum.reduceat(net, at)
+        tops = np.flatnonzero(net == np.repeat(best, n))
+        first = tops[np.searchsorted(tops, at)]
+        net[first] = 0
+        more = best - np.maximum(0, np.maximum.reduceat(net, at))
+        want = c[e[first]]
+        bids = np.flatnonzero((best > 0) & ((more > 0) | (owner[want] < 0)))
+        if not len(bids):
+            return
+        bids = bids[np.lexsort((more[bids], want[bids]))]
+        won = bids[np.append(want[bids][1:] != want[bids][:-1], True)]
+        before = owner[want[won]]
+        owner[want[won]] = free[won]
+        price[want[won]] += more[won]
+        stay = best > 0
+        stay[won] = False
+        free = np.concatenate([free[stay], before[before >= 0]])
+        if not len(free):
+            return
+
+
+def _augment(start: np.ndarray, c: np.ndarray, gain: np.ndarray, price: np.ndarray, owner: np.ndarray) -> None:
+    """Rows without a column get one, or none, by cheapest alternating paths (Dijkstra); a path ends at a column without an owner or at a row that gives up its own."""
+    column = np.full(len(start) - 1, -1)
+    column[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
+    worth = np.maximum(0, np.maximum.reduceat(gain - price[c], start[:-1]))  # of each row, at these prices
+    for source in np.flatnonzero((column < 0) & (worth > 0)).tolist():
+        far, way, passed = np.full(len(price), np.inf), np.full(len(price), -1), np.zeros(len(price), bool)
+        row, here, rows, columns, last, least = source, 0.0, [], [], source, np.inf
+        while True:
+            rows.append((row, here))
+            if here + worth[row] < least:
+                last, least = row, here + worth[row]
+            edges = slice(start[row], start[row + 1])
+            to = c[edges]
+            cost = here + np.maximum(0, worth[row] - gain[edges] + price[to])
+            near = (cost < far[to]) & (cost < least) & ~passed[to]
+            far[to[near]], way[to[near]] = cost[near], row
+            at = int(np.argmin(far))
+            if far[at] >= least:  # the cheapest end is a row without a column
+                at, here = int(column[last]), least
+                break
+            here = float(far[at])
+            if owner[at] < 0:
+                break
+            columns.append((at, here))
+            far[at], passed[at] = np.inf, True
+            row = int(owner[at])
+        for k, d in rows:
+            worth[k] = max(0.0, worth[k] - (here - d))
+        for k, d in columns:
+            price[k] += here - d
+        if here == least and at == column[last]:
+            column[last] = -1
+        while at >= 0:
+            row = int(way[at])
+            owner[at] = row
+            at, column[row] = int(column[row]), at
+
+
+def _optimal(r: np.ndarray, c: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the pairs (r, c), each number once, whose gains are most in all; all gains are above 0, every row and column from 0 has a pair."""
+    if len(r) == 1:
+        return r, c
+    order = np.lexsort((c, r))
+    r, c, gain = r[order], c[order], gain[order]
+    start = np.append(np.flatnonzero(np.append(True, r[1:] != r[:-1])), len(r))
+    columns = int(c.max()) + 1
+    price, owner = np.zeros(columns), np.full(columns, -1)
+    _bid(start, c, gain, price, owner, BID_ROUNDS)
+    _augment(start, c, gain, price, owner)
+    taken = np.flatnonzero(owner >= 0)
+    return owner[taken], taken
 
 
 def _groups(i: np.ndarray, j: np.ndarray) -> Iterator[np.ndarray]:
@@ -140,12 +199,8 @@ def assign(i: np.ndarray, j: np.ndarray, cost: np.ndarray, limit: float) -> list
     for part in _groups(i, j):
         rows, r = np.unique(i[part], return_inverse=True)
         columns, c = np.unique(j[part], return_inverse=True)
-        matrix = np.zeros((len(rows), len(columns)))
-        matrix[r, c] = -gain[part]
-        turned = matrix.shape[0] > matrix.shape[1]
-        chosen = _optimal(matrix.T if turned else matrix)
-        pairs = [(int(b), a) if turned else (a, int(b)) for a, b in enumerate(chosen)]
-        out += [(int(rows[a]), int(columns[b])) for a, b in pairs if matrix[a, b] < 0]
+        a, b = _optimal(r, c, gain[part])
+        out += zip(rows[a].tolist(), columns[b].tolist())
     return out
 
 
