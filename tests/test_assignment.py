@@ -1,6 +1,7 @@
 """Assignment of a crowd: the same optimum as a dense method, in a time that a crowded frame allows."""
 
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -56,3 +57,18 @@ def test_a_crowd_is_assigned_in_time():
     began = time.process_time()
     got = association.assign(i, j, 1 - iou, 0.95)
     assert len(got) > 1000 and time.process_time() - began < 3
+
+
+def test_overlaps_hold_few_candidates():
+    r = np.random.default_rng(8)
+    corner = r.uniform(0, 10_000, (3000, 2))
+    boxes = np.concatenate([corner, corner + r.uniform(5, 40, (3000, 2))], axis=1)
+    boxes[0] = (0, 0, 10_000, 5)  # one wide box made candidates of all pairs
+    tracemalloc.start()
+    try:
+        i, j, iou = association.overlaps(boxes, boxes)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    own = iou[i == j]
+    assert len(own) == 3000 and own == pytest.approx(np.ones(3000)) and peak < 100e6

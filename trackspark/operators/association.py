@@ -19,6 +19,8 @@ PLACE_SPREAD, SPEED_SPREAD = 1 / 20, 1 / 160
 SECOND_LIMIT, FRESH_LIMIT, SAME = 0.5, 0.7, 0.15
 #: Rounds of bids before the rows that are left are placed one at a time; any number gives an optimum.
 BID_ROUNDS = 50
+#: Candidate pairs of boxes that are looked at together.
+PAIRS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -44,21 +46,37 @@ class TrackerSettings:
 
 
 def common_areas(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers, common area and area of the union of all pairs of boxes (x1, y1, x2, y2) that overlap, by a sweep along x."""
-    none = np.zeros(0, np.int64)
-    if not len(a) or not len(b):
-        return none, none, np.zeros(0), np.zeros(0)
-    order = np.argsort(b[:, 0], kind="stable")
-    left = b[order, 0]
-    widest = max(0.0, float(np.nanmax(np.append(b[:, 2] - b[:, 0], 0.0))))
-    low, high = np.searchsorted(left, a[:, 0] - widest, "left"), np.searchsorted(left, a[:, 2], "left")
-    n = np.maximum(0, high - low)
-    i = np.repeat(np.arange(len(a)), n)
-    j = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[i]]
-    wide = np.minimum(a[i, 2], b[j, 2]) - np.maximum(a[i, 0], b[j, 0])
-    tall = np.minimum(a[i, 3], b[j, 3]) - np.maximum(a[i, 1], b[j, 1])
-    good = (wide > 0) & (tall > 0)
-    i, j, common = i[good], j[good], (wide * tall)[good]
+    """Numbers, common area and area of the union of all pairs of boxes (x1, y1, x2, y2) that overlap, by a sweep along x.
+
+    Boxes are swept by classes of width, each at most twice as wide as its narrowest, and
+    PAIRS candidates at a time: one wide box adds no candidates to the others, and memory
+    is that of the pairs that overlap.
+    """
+    wide = b[:, 2] - b[:, 0]
+    kind = np.frexp(np.where(wide > 0, wide, 0.0))[1]  # boxes without a width overlap nothing
+    found = []
+    for k in np.unique(kind[wide > 0]):
+        members = np.flatnonzero((kind == k) & (wide > 0))
+        members = members[np.argsort(b[members, 0], kind="stable")]
+        left = b[members, 0]
+        low, high = np.searchsorted(left, a[:, 0] - wide[members].max(), "left"), np.searchsorted(left, a[:, 2], "left")
+        n = np.maximum(0, high - low)
+        ends = np.cumsum(n)
+        start = 0
+        while start < len(a):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
+            m = n[start:stop]
+            i = np.repeat(np.arange(start, stop), m)
+            j = members[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m - low[start:stop], m)]
+            tall = np.minimum(a[i, 3], b[j, 3]) - np.maximum(a[i, 1], b[j, 1])
+            i, j, tall = i[tall > 0], j[tall > 0], tall[tall > 0]
+            across = np.minimum(a[i, 2], b[j, 2]) - np.maximum(a[i, 0], b[j, 0])
+            good = across > 0
+            found.append((i[good], j[good], (across * tall)[good]))
+            start = stop
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    i, j, common = (np.concatenate(c) for c in zip(*found))
     size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
     return i, j, common, size(a)[i] + size(b)[j] - common
 
