@@ -18,7 +18,7 @@ FRESH, TRACKED, LOST = 0, 1, 2
 PLACE_SPREAD, SPEED_SPREAD = 1 / 20, 1 / 160
 SECOND_LIMIT, FRESH_LIMIT, SAME = 0.5, 0.7, 0.15
 #: Rounds of bids before the rows that are left are placed one at a time; any number gives an optimum.
-BID_ROUNDS = 50
+BID_ROUNDS = 400
 #: Candidate pairs of boxes that are looked at together.
 PAIRS = 1 << 18
 
