@@ -36,6 +36,20 @@ def test_color_vote_does_not_hang_on_the_order_of_adding(spark):
         assert got == {1: ("green", 0.5, 11), 2: ("red", 0.2813, 12)}
 
 
+#: Both colours have 2 + 513/1024, whose tenth and last place is a 5; green is first, from six thirds.
+SHARES = [(1, f, "green", 1 / 3) for f in range(6)] + [(1, 10, "green", 513 / 1024), (1, 20, "blue", 1.0), (1, 21, "blue", 1.0), (1, 22, "blue", 513 / 1024)]
+
+
+def test_color_vote_of_sums_between_two_places_and_of_long_sums(spark):
+    shares = spark.createDataFrame(SHARES, "track_id long, frame long, color string, confidence double")
+    # track 2: 330,000 thirds, whose double sum is not 110,000
+    ids = spark.range(0, 330_000, 1, 3)
+    long = ids.selectExpr("2L AS track_id", "id AS frame", "'red' AS color", "1 / 3.0D AS confidence").unionAll(ids.filter("id < 110000").selectExpr("2L", "id + 1000000", "'blue'", "1.0D"))
+    votes = shares.unionAll(long)
+    got = {r.track_id: (r.dominant_color, r.color_confidence, r.color_samples) for r in appearance.color_vote(votes, votes).collect()}
+    assert got == {1: ("green", 0.5, 10), 2: ("red", 0.5, 440_000)}
+
+
 def test_box_colours_of_a_tie(spark):
     b, g, r = (evidence.box_color(F.col("dominant_color"))[k] for k in range(3))
     got = {row.track_id: (row.b, row.g, row.r) for row in colors(spark).select("track_id", b.alias("b"), g.alias("g"), r.alias("r")).collect()}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import box_area
+from ..functions.columns import box_area, finite
 from ..functions.quantiles import exact_quantiles
 from ..schema import require_columns
 from ..storage import written
@@ -67,13 +69,16 @@ def color_vote(votes: DataFrame, tracks: DataFrame) -> DataFrame:
     """dominant_color, its share of the weights (at least 0.05 each) and the number of votes of every track.
 
     votes has track_id, frame, color and confidence; unknown ones don't count; ties go
-    to the colour seen first.  Tracks without votes are unknown.  Sums of shares are
-    compared to nine places, and a ratio is rounded from twelve, so that the order of
-    adding, which differs with the number of tasks, never breaks a tie.
+    to the colour seen first.  Tracks without votes are unknown.  Shares are added as
+    decimals, whose sum has no order, and sums are compared to nine places, since a third
+    has no decimal; a ratio is rounded from twelve.
     """
     known = votes.filter("color <> 'unknown'")
-    totals = known.groupBy("track_id", "color").agg(F.sum(F.greatest(F.lit(0.05), F.col("confidence"))).alias("weight"), F.min("frame").alias("first"), F.count(F.lit(1)).alias("n"))
-    won = totals.groupBy("track_id").agg(F.max_by("color", F.struct(F.round("weight", 9), -F.col("first"))).alias("c"), F.max("weight").alias("w"), F.sum("weight").alias("all"), F.sum("n").alias("n"))
+    weight = F.greatest(F.lit(0.05), finite(F.col("confidence"))).cast("decimal(38,18)")
+    totals = known.groupBy("track_id", "color").agg(F.sum(weight).alias("weight"), F.min("frame").alias("first"), F.count(F.lit(1)).alias("n"))
+    # places are cut where no sum of shares ends: sums of 1/1024 lie in the middle of two
+    place = F.round(F.col("weight") + F.lit(Decimal("0.000000000381966")), 9)
+    won = totals.groupBy("track_id").agg(F.max_by("color", F.struct(place, -F.col("first"))).alias("c"), F.max("weight").cast("double").alias("w"), F.sum("weight").cast("double").alias("all"), F.sum("n").alias("n"))
     rows = tracks.select("track_id").distinct().join(won, "track_id", "left")
     return rows.select("track_id", F.coalesce("c", F.lit("unknown")).alias("dominant_color"), F.coalesce(F.round(F.round(F.col("w") / F.col("all"), 12), 4), F.lit(0.0)).alias("color_confidence"), F.coalesce("n", F.lit(0)).cast("long").alias("color_samples"))
 
